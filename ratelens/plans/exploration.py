@@ -158,7 +158,7 @@ QUERIES = {
     ),
     "ex4_histogram_60": Query(
         lambda s, d: rounded(
-            dist.histogram(x.with_rate_per_mile(clean(s, d)), ["posted_rate", "distance", "rate_per_mile"], 60), 4
+            dist.histogram(x.with_rate_per_mile(clean(s, d)), ["posted_rate", "distance", "rate_per_mile"], 60), 6
         ),
         _histogram_sql({"posted_rate": "posted_rate", "distance": "distance", "rate_per_mile": _RPM}, 60),
     ),
@@ -312,7 +312,7 @@ QUERIES = {
         ),
     ),
     "ex30_rate_per_mile": Query(
-        lambda s, d: rounded(x.with_rate_per_mile(clean(s, d)).select("load_id", "rate_per_mile"), 6),
-        over("clean", f"SELECT load_id, round({_RPM}, 6) AS rate_per_mile FROM clean"),
+        lambda s, d: rounded(x.with_rate_per_mile(clean(s, d)).select("load_id", "rate_per_mile"), 9),
+        over("clean", f"SELECT load_id, round({_RPM}, 9) AS rate_per_mile FROM clean"),
     ),
 }
