@@ -7,6 +7,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ratelens.models.baseline import MeanRegressor
+from ratelens.models.evaluation import (
+    compare_models,
+    default_models,
+    extra_trees,
+    final_fit,
+    load_model,
+    prepared,
+    score_batch,
+    tune,
+)
 from ratelens.models.imputers import column_medians, column_modes
 from ratelens.models.preparation import (
     column_roles,
@@ -278,6 +288,28 @@ _SUMMARY_SQL = """round(avg(MAE), 6) AS mean_MAE, round(avg(RMSE), 6) AS mean_RM
  round(stddev_samp(MAE), 6) AS std_MAE, round(stddev_samp(RMSE), 6) AS std_RMSE"""
 
 
+# Small forests: the published size is a parameter, not something a check should fit.
+_TRIAL = {"numTrees": 5, "maxDepth": 8}
+
+
+def _tree_scores(spark, folder):
+    """Randomised trees fitted on the training rows, applied to the validation rows."""
+    train, valid = _split(spark, folder)
+    with prepared(train, valid) as (roles, fit_rows, score_on):
+        model = extra_trees(roles, **_TRIAL).fit(fit_rows)
+    scored = m.floor_predictions(model.transform(score_on))
+    return rounded(scored.select("load_id", TARGET, PREDICTION), 6)
+
+
+def _final_scores(spark, folder):
+    """Final fit on every labelled row, saved, loaded again and applied to the latest loads."""
+    path = scratch_path(spark, "final-model")
+    table = features(spark, folder)
+    final_fit(table, path, **_TRIAL)
+    latest = sp.holdout(clean(spark, folder), CUT)[1].drop(TARGET)
+    return rounded(score_batch(latest, load_model(spark, path)), 6)
+
+
 QUERIES = {
     "ml1_drop_undated": Query(
         lambda s, d: sp.drop_undated(clean(s, d)).select("load_id", "date"),
@@ -310,6 +342,7 @@ QUERIES = {
             FROM clean WHERE {_VALID}""",
         ),
     ),
+    "ml12_extra_trees": Query(_tree_scores),
     "ml13_floor_predictions": Query(
         _floored,
         over(
@@ -322,6 +355,9 @@ QUERIES = {
         lambda s, d: _rounded_metrics(m.regression_metrics(baseline_scores(s, d))), _baseline_metrics_sql()
     ),
     "ml18_model_comparison": Query(_comparison, _baseline_metrics_sql("'dummy_mean' AS model, ")),
+    "ml17_18_compare_models": Query(
+        lambda s, d: _rounded_metrics(compare_models(features(s, d), CUT, default_models(**_TRIAL)))
+    ),
     "ml19_fold_membership": Query(
         lambda s, d: sp.assign_folds(clean(s, d), FOLDS)
         .groupBy("fold", "role")
@@ -343,10 +379,14 @@ QUERIES = {
             FROM scored WHERE role = 'valid' GROUP BY 1""",
         )),
     ),
+    "ml22_tuning_grid": Query(
+        lambda s, d: _rounded_metrics(tune(features(s, d), FOLDS[-1:], numTrees=2, maxDepth=6))
+    ),
     "ml23_tuning_summary": Query(
         lambda s, d: rounded(m.tuning_summary(_equipment_trials(s, d)), 6),
         over("clean", f"SELECT configuration, {_SUMMARY_SQL} FROM trials GROUP BY 1", _ASSIGNED, _SCORED, _TRIALS),
     ),
+    "ml24_25_final_scores": Query(_final_scores),
     "ml26_prediction_summary": Query(
         lambda s, d: rounded(
             m.prediction_summary(
