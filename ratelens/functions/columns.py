@@ -79,14 +79,21 @@ def equal_width_bin(column: Column, low: Column, high: Column, bins: int) -> Col
     return F.least(F.width_bucket(column, lo, hi, F.lit(bins)), F.lit(bins).cast("bigint")) - 1
 
 
-def great_circle_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float) -> Column:
-    """Haversine distance between two points given in degrees."""
+def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Haversine of the central angle between two points given in degrees.
+
+    Keep it in a column of its own: ``arc_length`` reads it several times.
+    """
     half_dlat = (F.radians(lat2) - F.radians(lat1)) / 2
     half_dlon = (F.radians(lon2) - F.radians(lon1)) / 2
-    a = F.pow(F.sin(half_dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
+    return F.pow(F.sin(half_dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(half_dlon), 2
     )
-    return 2 * radius * F.asin(F.sqrt(within(not_nan(a), 0.0, 1.0)))
+
+
+def arc_length(hav: Column, radius: float) -> Column:
+    """Great-circle distance for a haversine, which is first clipped to [0, 1]."""
+    return 2 * radius * F.asin(F.sqrt(within(not_nan(hav), 0.0, 1.0)))
 
 
 def route_label(pickup: Column, delivery: Column, missing_label: str = "nan") -> Column:

@@ -211,10 +211,16 @@ def density_grid(df: DataFrame, x: Sequence[str], y: str, bins: int = 50) -> Dat
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Correlation over complete pairs; NULL (not an error) when either side is constant."""
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
-    return F.covar_pop(xs, ys) / F.nullif(F.stddev_pop(xs) * F.stddev_pop(ys), F.lit(0.0))
+    """Correlation over complete pairs; NULL (not an error) when either side is constant.
+
+    The built-in ``corr`` raises on a constant side, the regression aggregates do not: the
+    slope is NULL for a constant ``x`` and 0 for a constant ``y``, and its sign is the sign
+    of the correlation.
+    """
+    slope = F.regr_slope(y, x)
+    return F.when(slope != 0, F.signum(slope) * F.sqrt(F.regr_r2(y, x))).when(
+        F.regr_r2(y, x) < 1, F.lit(0.0)
+    )
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The 26 derived columns of a load, as one projection without a shuffle.
+"""The 26 derived columns of a load: projections only, no shuffle.
 
 The target is never read. Missing inputs give missing outputs (imputation belongs to the
 model), except the three calendar flags, which are 0 without a date.
@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratelens.functions.columns import (
+    arc_length,
     as_day,
     at_least,
     finite,
-    great_circle_miles,
+    haversine,
     labelled_bucket,
     not_nan,
     route_label,
@@ -50,23 +51,25 @@ def calendar_columns(day: Column) -> dict[str, Column]:
     }
 
 
-def geography_columns(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> dict[str, Column]:
+def geography_columns(
+    lat1: Column, lon1: Column, lat2: Column, lon2: Column, hav: Column
+) -> dict[str, Column]:
     """Coordinate differences (delivery minus pickup) and great-circle distance."""
     return {
         "lat_diff": finite(lat2 - lat1),
         "lon_diff": finite(lon2 - lon1),
         "abs_lat_diff": finite(F.abs(lat2 - lat1)),
         "abs_lon_diff": finite(F.abs(lon2 - lon1)),
-        "geo_distance": finite(great_circle_miles(lat1, lon1, lat2, lon2, EARTH_RADIUS_MILES)),
+        "geo_distance": arc_length(hav, EARTH_RADIUS_MILES),
     }
 
 
 def size_columns(distance: Column, weight: Column) -> dict[str, Column]:
     """Logarithms, buckets and density of distance and weight."""
     return {
-        "log_distance": finite(F.log1p(at_least(distance, 0.0))),
+        "log_distance": F.log1p(finite(at_least(distance, 0.0))),
         "distance_bucket": labelled_bucket(distance, DISTANCE_EDGES, DISTANCE_LABELS),
-        "log_weight": finite(F.log1p(at_least(weight, 0.0))),
+        "log_weight": F.log1p(finite(at_least(weight, 0.0))),
         "weight_bucket": labelled_bucket(weight, WEIGHT_EDGES, WEIGHT_LABELS),
         "weight_per_distance": finite(safe_ratio(weight, distance)),
     }
@@ -85,29 +88,28 @@ def market_columns(distance: Column, weight: Column, market: Column, quote: Colu
 
 
 def create_features(df: DataFrame, missing_label: str = "nan") -> DataFrame:
-    """Input columns (date as a day, doubles finite) followed by the 26 derived columns."""
-    day = as_day(F.col("date"), df.schema["date"].dataType)
-
-    def number(name: str) -> Column:
-        return not_nan(F.col(name).cast("double"))
-
-    kept = []
-    for field in df.schema:
-        if field.name == "date":
-            kept.append(day.alias("date"))
-        elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            kept.append(finite(F.col(field.name)).alias(field.name))
-        else:
-            kept.append(F.col(field.name))
-
-    distance, weight = number("distance"), number("weight")
+    """Input columns (date as a day, doubles finite) followed by the 26 derived columns.
+
+    Values that several columns read (the day, the inputs without NaN, the haversine) are
+    projected first, so each is computed once per row.
+    """
+    places = ("pickup_lat", "pickup_lon", "delivery_lat", "delivery_lon")
+    inputs = (*places, "distance", "weight", "market_index", "quote_signal")
+    numbers = {f"__{name}": not_nan(F.col(name).cast("double")) for name in inputs}
+    base = df.withColumns({"date": as_day(F.col("date"), df.schema["date"].dataType), **numbers})
+    at = [F.col(f"__{name}") for name in places]
+    base = base.withColumn("__haversine", haversine(*at))
+
+    def kept(field: T.StructField) -> Column:
+        floating = isinstance(field.dataType, (T.DoubleType, T.FloatType))
+        return (finite(F.col(field.name)) if floating else F.col(field.name)).alias(field.name)
+
+    distance, weight, market, quote = (F.col(f"__{name}") for name in inputs[4:])
     derived = {
-        **calendar_columns(day),
+        **calendar_columns(F.col("date")),
         "route": route_label(F.col("pickup"), F.col("delivery"), missing_label),
-        **geography_columns(
-            number("pickup_lat"), number("pickup_lon"), number("delivery_lat"), number("delivery_lon")
-        ),
+        **geography_columns(*at, F.col("__haversine")),
         **size_columns(distance, weight),
-        **market_columns(distance, weight, number("market_index"), number("quote_signal")),
+        **market_columns(distance, weight, market, quote),
     }
-    return df.select(*kept, *[expr.alias(name) for name, expr in derived.items()])
+    return base.select(*map(kept, df.schema), *[expr.alias(name) for name, expr in derived.items()])

@@ -16,6 +16,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a table that is stored in fewer splits than there are cores.
+
+    A table of cluster size has more splits than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def place_coords(spark: SparkSession, folder: str) -> DataFrame:
     """Dimension ``place, lat, lon`` (one row per nation)."""
     key = F.col("n_nationkey")
@@ -38,7 +47,7 @@ def loads(spark: SparkSession, folder: str) -> DataFrame:
         "c_nationkey",
     )
     lines = (
-        table(spark, folder, "lineitem")
+        spread(table(spark, folder, "lineitem"))
         .join(
             table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey"
         )
