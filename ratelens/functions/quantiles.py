@@ -11,6 +11,11 @@ values. Here it takes two map-side-combined passes instead:
 
 The result is exact: the second pass counts every row, and a rank that escaped its bracket
 raises instead of returning a neighbouring value.
+
+Without groups the brackets reach the second pass as a scalar subquery. With groups the
+first pass runs when called and its one row per group is checkpointed: the table is then
+not scanned again for the other aggregates, and the counted size decides between a
+broadcast and a skew-aware shuffle join.
 """
 
 from __future__ import annotations
@@ -20,7 +25,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 10_000
+from ratelens.session import ensure_checkpoint_folder
+
+# Sketch sizes grow with the accuracy, once per group and task; few groups can afford more.
+GROUP_ACCURACY = 10_000
+COLUMN_ACCURACY = 100_000
+
+# Rows of a few hundred bytes: about 30 MB at most.
+BROADCAST_GROUPS = 100_000
 
 _EDGES, _N, _CELL, _VALUE = "__edges", "__n", "__cell", "__value"
 
@@ -32,15 +44,18 @@ def quantiles(
     by: Sequence[str] = (),
     aggregates: Sequence[Column] = (),
     exact: bool = True,
-    accuracy: int = DEFAULT_ACCURACY,
+    accuracy: int | None = None,
+    few_groups: bool = False,
 ) -> DataFrame:
     """One row per group: ``by`` columns, ``aggregates``, then one column per probability.
 
     Linear interpolation between neighbouring order statistics; NULL values are ignored;
     rows with a NULL group key are left out. ``aggregates`` ride along in the sketch pass.
     ``exact=False`` stops after the sketch (rank error at most ``n / accuracy``).
+    ``few_groups=True`` (groups are columns, not data) affords a finer sketch.
     """
     by = list(by)
+    accuracy = accuracy or (COLUMN_ACCURACY if few_groups or not by else GROUP_ACCURACY)
     names = sorted(probabilities, key=probabilities.get)
     probs = [float(probabilities[n]) for n in names]
     rows = df.withColumn(_VALUE, (F.col(value) if isinstance(value, str) else value).cast("double"))
@@ -58,14 +73,29 @@ def quantiles(
     highs = [min(p + margin, 1.0) for p in probs]
     sketch = F.percentile_approx(_VALUE, lows + highs, accuracy)
     first = _grouped(rows, by, [*aggregates, sketch.alias(_EDGES)])
+    if by or aggregates:
+        first = group_table(first)
     ranked = _ranked_cells(rows, first.select(*by, _EDGES), by, len(probs))
     found = _pick(ranked, by, names, probs)
     if by:
         return first.drop(_EDGES).join(found, by, "left")
+    if not aggregates:
+        return found
     picked = found.select(F.struct(*names).alias("q")).scalar()
     return first.drop(_EDGES).withColumn("__q", picked).select("*", "__q.*").drop("__q")
 
 
+def group_table(per_group: DataFrame) -> DataFrame:
+    """Checkpoint a table with one row per group and broadcast it if it is small enough.
+
+    Spark cannot know the size of an aggregate beforehand and would shuffle the large side
+    of a join before finding out.
+    """
+    ensure_checkpoint_folder(per_group.sparkSession)
+    table = per_group.checkpoint()
+    return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
+
+
 def _grouped(rows: DataFrame, by: list[str], aggregates: list[Column]) -> DataFrame:
     return rows.groupBy(*by).agg(*aggregates) if by else rows.agg(*aggregates)
 

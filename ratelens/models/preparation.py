@@ -86,6 +86,8 @@ def rate_model(df: DataFrame, regressor, encode: bool = False) -> Pipeline:
     ``encode=True`` adds the sparse one-hot vector for regressors that read ``features``.
     """
     roles = column_roles(df.schema)
+    if encode:
+        check_category_widths(df, roles)
     stages = imputation_stages(roles) + (encoding_stages(roles) if encode else [])
     return Pipeline(stages=[*stages, regressor])
 

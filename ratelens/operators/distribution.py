@@ -2,7 +2,8 @@
 outlier statistics, correlations.
 
 Statistics that need a bound first (bins, whiskers) read the table twice: the first pass
-ends in one row, used as a scalar subquery, or in one row per group, joined on the group.
+ends in one row, used as a scalar subquery, in one row per column, broadcast (the columns
+bound it), or in one row per data group, joined on the group once its size is known.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.functions.columns import equal_width_bin, finite
-from ratelens.functions.quantiles import quantiles
+from ratelens.functions.quantiles import group_table, quantiles
 
 # Quartiles, the extended quantile list and the whisker reach.
 QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
@@ -39,6 +40,7 @@ def describe(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataF
         "value",
         QUARTILES,
         by=["column"],
+        few_groups=True,
         aggregates=[
             F.count(value).alias("count"),
             F.avg(value).alias("mean"),
@@ -101,7 +103,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     counts = (
         numeric_long(df, columns)
         .where(F.col("value").isNotNull())
-        .join(bounds, "column")
+        .join(F.broadcast(bounds), "column")
         .groupBy("column", equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -153,7 +155,7 @@ def density_curve(df: DataFrame, columns: Sequence[str], points: int = GRID_POIN
     kernel = F.exp(-0.5 * F.pow((x - value) / F.col("h"), 2)) * F.col("w")
     total = F.sum(kernel) / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))
     return (
-        weights.join(facts, "column")
+        weights.join(F.broadcast(facts), "column")
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy("column", "point", "lo", "step", "n", "h")
         .agg(total.alias("density"))
@@ -173,7 +175,7 @@ def box_stats(df: DataFrame, value: str, by: str | None = None, exact: bool = Tr
     fences = box.withColumns({"low_fence": F.col("q1") - reach, "high_fence": F.col("q3") + reach})
     edge = [*keys, "q1", "median", "q3", "low_fence", "high_fence"]
     if by:
-        joined = rows.where(F.col(by).isNotNull()).join(fences.select(*edge), by)
+        joined = rows.where(F.col(by).isNotNull()).join(group_table(fences.select(*edge)), by)
     else:
         scalar = fences.select(F.struct(*edge).alias("f")).scalar()
         joined = rows.withColumn("__f", scalar).select("v", "__f.*")
@@ -200,7 +202,7 @@ def density_grid(df: DataFrame, x: Sequence[str], y: str, bins: int = 50) -> Dat
         F.min("value").alias("x_lo"), F.max("value").alias("x_hi"), F.min("__y").alias("y_lo"), F.max("__y").alias("y_hi")
     )
     return (
-        pairs.join(bounds, "column")
+        pairs.join(F.broadcast(bounds), "column")
         .groupBy(
             "column",
             equal_width_bin(F.col("value"), F.col("x_lo"), F.col("x_hi"), bins).alias("x_bin"),
@@ -278,14 +280,14 @@ def target_correlations(df: DataFrame, columns: Sequence[str], target: str, incl
 def outlier_summary(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """Per column: quartiles, IQR, fences, count strictly outside and its share in percent."""
     long = numeric_long(df, columns)
-    box = quantiles(long, "value", {"q1": 0.25, "q3": 0.75}, by=["column"], exact=exact)
+    box = quantiles(long, "value", {"q1": 0.25, "q3": 0.75}, by=["column"], exact=exact, few_groups=True)
     iqr = F.col("q3") - F.col("q1")
     fences = box.select(
         "column", "q1", "q3", iqr.alias("iqr"), (F.col("q1") - WHISKER * iqr).alias("lower"),
         (F.col("q3") + WHISKER * iqr).alias("upper"),
     )
     outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
-    counted = long.join(fences, "column").groupBy(*fences.columns)
+    counted = long.join(F.broadcast(fences), "column").groupBy(*fences.columns)
     return counted.agg(
         F.count_if(outside).alias("outliers"),
         (F.count_if(outside) * 100.0 / F.nullif(F.count("value"), F.lit(0).cast("bigint"))).alias("outlier_pct"),

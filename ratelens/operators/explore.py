@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.functions.columns import route_label, safe_ratio
-from ratelens.functions.quantiles import quantiles
+from ratelens.functions.quantiles import group_table, quantiles
 from ratelens.sources.schemas import KEY, TARGET
 
 # Weekday order and the columns of the highest-rate report.
@@ -128,8 +128,9 @@ def top_routes(df: DataFrame, top: int = 20, target: str = TARGET) -> DataFrame:
         .limit(top)
     )
     # ``top`` rows: a fixed bound, so broadcasting them is safe at any data size.
+    busiest = group_table(busiest)
     chosen = routed.join(F.broadcast(busiest.select("route")), "route", "left_semi")
-    medians = quantiles(chosen, target, {"median_rate": 0.5}, by=["route"])
+    medians = quantiles(chosen, target, {"median_rate": 0.5}, by=["route"], few_groups=True)
     return (
         busiest.join(F.broadcast(medians), "route", "left")
         .select("route", "load_count", "mean_rate", "median_rate")

@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from ratelens.errors import ContractError
+
 # Adaptive execution sizes shuffle partitions and splits skewed joins at run time.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -20,6 +22,23 @@ SETTINGS = {
 }
 
 
+def ensure_checkpoint_folder(spark: SparkSession) -> str:
+    """Folder for checkpoints and hand-over tables, as the session names it.
+
+    Only a local session without one gets a temporary folder; a cluster must name a folder
+    that every executor reaches.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ContractError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="ratelens-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine.
 
@@ -31,6 +50,5 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
     builder = builder.config("spark.driver.memory", memory).config("spark.sql.shuffle.partitions", str(partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ratelens-"))
+    ensure_checkpoint_folder(spark)
     return spark

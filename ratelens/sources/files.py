@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ratelens.errors import ContractError
 from ratelens.functions.columns import as_day, not_nan
+from ratelens.session import ensure_checkpoint_folder
 from ratelens.sources.schemas import LOAD_TYPES, NA_TOKENS
 
 
@@ -76,7 +77,5 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder the cluster shares for checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ContractError("set spark.checkpoint.dir to a folder every executor can reach")
+    base = ensure_checkpoint_folder(spark)
     return f"{base.rstrip('/')}/ratelens/{name}-{uuid.uuid4().hex}"
