@@ -9,7 +9,7 @@ bound it), or in one row per data group, joined on the group once its size is kn
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -226,31 +226,31 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson matrix as ``column, other, correlation`` rows, in one scan."""
+    """Pairwise-complete Pearson matrix as ``column, other, correlation`` rows, in one scan.
+
+    Each row is unfolded to its pairs inside the map task and combined there per pair: one
+    small aggregation over more rows compiles and runs better than hundreds of aggregates
+    side by side, and the shuffle carries one row per task and pair.
+    """
     doubles = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
-    pairs = [(a, b) for a, b in combinations(columns, 2)]
-    cells = [
-        F.struct(F.lit(a).alias("column"), F.lit(b).alias("other"), pearson(F.col(a), F.col(b)).alias("correlation"))
-        for a, b in pairs
-    ]
-    cells += [
-        F.struct(
-            F.lit(a).alias("column"),
-            F.lit(a).alias("other"),
-            F.when(F.min(a) < F.max(a), F.lit(1.0)).alias("correlation"),
-        )
-        for a in columns
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    values = [
+        F.struct(F.lit(i).alias("i"), F.col(columns[a]).alias("x"), F.col(columns[b]).alias("y"))
+        for i, (a, b) in enumerate(pairs)
     ]
-    upper = doubles.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-    mirror = F.when(
-        F.col("column") == F.col("other"), F.array(F.struct(F.col("column"), F.col("other")))
-    ).otherwise(
-        F.array(
-            F.struct(F.col("column"), F.col("other")),
-            F.struct(F.col("other").alias("column"), F.col("column").alias("other")),
-        )
+    upper = (
+        doubles.select(F.inline(F.array(*values)))
+        .groupBy("i")
+        .agg(pearson(F.col("x"), F.col("y")).alias("correlation"))
+    )
+    names = [(i, columns[a], columns[b]) for i, (a, b) in enumerate(pairs)]
+    names += [(i, columns[b], columns[a]) for i, (a, b) in enumerate(pairs) if a != b]
+    cells = df.sparkSession.createDataFrame(names, "i int, column string, other string")
+    same = (F.col("column") == F.col("other")) & F.col("correlation").isNotNull()
+    # One row per pair of columns on either side.
+    return cells.join(F.broadcast(upper), "i", "left").select(
+        "column", "other", F.when(same, F.lit(1.0)).otherwise(F.col("correlation")).alias("correlation")
     )
-    return upper.select(F.explode(mirror).alias("p"), "correlation").select("p.*", "correlation")
 
 
 def target_correlations(df: DataFrame, columns: Sequence[str], target: str, include_self: bool = True) -> DataFrame:

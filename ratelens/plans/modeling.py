@@ -380,7 +380,7 @@ QUERIES = {
         )),
     ),
     "ml22_tuning_grid": Query(
-        lambda s, d: _rounded_metrics(tune(features(s, d), FOLDS[-1:], numTrees=2, maxDepth=6))
+        lambda s, d: _rounded_metrics(tune(features(s, d), FOLDS[-1:], numTrees=2, maxDepth=4))
     ),
     "ml23_tuning_summary": Query(
         lambda s, d: rounded(m.tuning_summary(_equipment_trials(s, d)), 6),

@@ -71,7 +71,13 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Write the hand-over table between stages; partition by month to prune later scans."""
+    """Write the hand-over table between stages; partition by month to prune later scans.
+
+    Rows of a partition value are brought together first (large ones over several tasks), so
+    each task writes few files instead of one per value.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 

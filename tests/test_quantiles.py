@@ -53,6 +53,13 @@ def test_groups_with_one_hot_key_missing_values_and_missing_keys(spark):
             assert r["p50"] is None
 
 
+def test_approximate_quantiles_keep_their_rank_error(spark):
+    df = spark.range(10_001).select(F.col("id").cast("double").alias("v"), (F.col("id") % 2).alias("k"))
+    row = quantiles(df, "v", {"m": 0.5}, exact=False, accuracy=100, aggregates=[F.count("v").alias("n")]).first()
+    assert row["n"] == 10_001 and abs(row["m"] - 5_000) <= 110
+    assert len(quantiles(df, "v", {"m": 0.5}, by=["k"], exact=False).collect()) == 2
+
+
 def test_empty_column_is_missing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert quantiles(df, "v", {"m": 0.5}).first()["m"] is None
