@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
@@ -95,8 +94,3 @@ def rate_model(df: DataFrame, regressor, encode: bool = False) -> Pipeline:
 def labelled(df: DataFrame, target: str = TARGET) -> DataFrame:
     """Rows usable for training: the target is present."""
     return df.where(F.col(target).isNotNull())
-
-
-def vector_width(roles: Roles, labels: Sequence[Sequence[str]]) -> int:
-    """Width of the assembled vector."""
-    return len(roles.numeric) + sum(len(found) for found in labels)
