@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 import public_tokenizers
 from ratelens.llm.common import table
 from ratelens.llm.decontamination import find_contamination
+from ratelens.llm.packing import pack, with_checksum
+from ratelens.llm.simhash import near_duplicates
 from ratelens.llm.tokens import count_tokens
 from ratelens.plans.common import Query
 
@@ -19,6 +20,17 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("clean_text")
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in full windows."""
+    docs = table(spark, folder, "documents")
+    return with_checksum(pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of near-duplicates by fingerprint."""
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document."""
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -26,5 +38,7 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_decontamination": Query(op2_decontamination),
+    "op3_packing": Query(op3_packing),
+    "op4_simhash": Query(op4_simhash),
     "op8_token_counts": Query(op8_token_counts),
 }
