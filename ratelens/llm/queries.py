@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from ratelens.llm.common import table
 from ratelens.llm.decontamination import find_contamination
 from ratelens.llm.packing import pack, with_checksum
+from ratelens.llm import quality, toxicity
 from ratelens.llm.simhash import near_duplicates
 from ratelens.llm.tokens import count_tokens
 from ratelens.plans.common import Query
@@ -36,9 +38,30 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _judged(scored: DataFrame, method) -> DataFrame:
+    out = toxicity.held_out(F.col("doc_id"), method.HELD_OUT_PARTS, method.HELD_OUT_PART).alias("held_out")
+    return scored.select("doc_id", out, "score", (F.col("score") >= method.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"))
+    return _judged(toxicity.score_toxicity(docs, model, drop=("text",)), toxicity)
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, folder, "labels"))
+    return _judged(quality.score_quality(docs, model, drop=("text",)), quality)
+
+
 QUERIES: dict[str, Query] = {
     "op2_decontamination": Query(op2_decontamination),
     "op3_packing": Query(op3_packing),
     "op4_simhash": Query(op4_simhash),
     "op8_token_counts": Query(op8_token_counts),
+    "op9_toxicity": Query(op9_toxicity),
+    "op10_quality": Query(op10_quality),
 }
