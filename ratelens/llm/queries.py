@@ -12,9 +12,15 @@ from ratelens.llm.packing import pack, with_checksum
 from ratelens.llm import chat, quality, secrets, toxicity
 from ratelens.llm.simhash import near_duplicates
 from ratelens.llm.tokens import count_tokens
+from ratelens.llm.weighted_minhash import edited_fingerprints
 from ratelens.plans.common import Query
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return edited_fingerprints(table(spark, folder, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -73,6 +79,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_fingerprints": Query(op1_fingerprints),
     "op2_decontamination": Query(op2_decontamination),
     "op3_packing": Query(op3_packing),
     "op4_simhash": Query(op4_simhash),
