@@ -12,6 +12,7 @@ from ratelens.llm.packing import pack, with_checksum
 from ratelens.llm import chat, quality, secrets, toxicity
 from ratelens.llm.simhash import near_duplicates
 from ratelens.llm.tokens import count_tokens
+from ratelens.llm.repeats import remove_repeats
 from ratelens.llm.weighted_minhash import edited_fingerprints
 from ratelens.plans.common import Query
 
@@ -54,6 +55,11 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("secrets").alias("spans"))
 
 
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without passages that occur elsewhere."""
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document."""
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -85,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash": Query(op4_simhash),
     "op5_chat": Query(op5_chat),
     "op6_secrets": Query(op6_secrets),
+    "op7_repeats": Query(op7_repeats),
     "op8_token_counts": Query(op8_token_counts),
     "op9_toxicity": Query(op9_toxicity),
     "op10_quality": Query(op10_quality),
