@@ -89,17 +89,18 @@ def _anchored(length: int):
 
 
 def _strings(length: int):
-    """A 128-bit hash of each string of the anchors in question."""
+    """A 64-bit hash of each string of the anchors in question; with the key, 128 bits tell strings apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        digest = xxhash.xxh3_64_intdigest
         names = ["digest", "key", "ctx", "delta"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         for batch in batches:
             for text, found in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out = [
-                    (xxhash.xxh3_128_digest(text[a["pos"] - d : a["pos"] - d + length]), a["key"], a["ctx"], d)
+                    (_signed(digest(text[a["pos"] - d : a["pos"] - d + length], 2)), a["key"], a["ctx"], d)
                     for a in found for d in range(a["lo"], a["hi"] + 1)
                 ]
                 for at in range(0, len(out), 100_000):
@@ -163,11 +164,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     asked = asked.groupBy("_tid").agg(F.collect_list("a").alias("_asked"))
     single = rows.select("_tid", "_t")
     texts_asked = single.join(asked.select("_tid"), "_tid", "left_semi").dropDuplicates(["_tid"]).join(asked, "_tid")
-    strings = texts_asked.select("_t", "_asked").mapInArrow(_strings(length), "digest binary, key bigint, ctx bigint, delta int")
+    strings = texts_asked.select("_t", "_asked").mapInArrow(_strings(length), "digest bigint, key bigint, ctx bigint, delta int")
     strings = scratch_table(strings, "strings")
-    own = F.xxhash64("key", "ctx")
-    twice = strings.groupBy("digest").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a != b").select("digest")
-    deltas = strings.join(twice, "digest", "left_semi").groupBy("key", "ctx").agg(F.collect_set("delta").alias("deltas"))
+    twice = strings.groupBy("key", "digest").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a != b").select("key", "digest")
+    deltas = strings.join(twice, ["key", "digest"], "left_semi").groupBy("key", "ctx").agg(F.collect_set("delta").alias("deltas"))
     marked = contexts.join(deltas, ["key", "ctx"], "left").where("n > 1 or deltas is not null")
     marked = marked.select("key", "ctx", F.when(F.col("n") == 1, F.col("deltas")).alias("deltas"))
     found = each.where("copies = 1").join(marked, ["key", "ctx"]).groupBy("_tid").agg(F.collect_list(F.struct("pos", "lo", "hi", "deltas")).alias("_marks"))
