@@ -11,8 +11,9 @@ from ratelens.llm.common import named, text_of
 
 #: Samples of a fingerprint.
 SAMPLES = 24
-#: Ranges of ids per shuffle partition.
-RANGES = 4
+#: Partitions of texts per shuffle partition, as the terms of a partition's texts are counted in memory, and ranges of
+#: ids per such partition.
+PARTS, RANGES = 4, 2
 
 
 def _uniform(bits: Column, width: int) -> Column:
@@ -101,7 +102,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     rows = docs.select(named(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     place, is_last = _ranges(rows.select("_id"), RANGES * parts)
     rows = rows.withColumn("_p", place)
     both = F.array(F.struct(F.col("_p.at").alias("r"), F.lit(0).alias("g")), F.struct(F.col("_p.above").alias("r"), F.lit(1).alias("g")))
@@ -112,20 +113,18 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     third = F.floor(F.char_length("_t") / 3).cast("int")
     edited = F.concat(F.substring("_t", F.lit(1), F.char_length("_t") - third), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), third))
     rows = rows.withColumn("_edited", F.when(F.col("_g") == 0, edited))
-    # The digest travels as four numbers, which keeps the keys of the aggregations fixed in width.
-    rows = rows.withColumn("_sha", F.sha2("_edited", 256))
-    quarters = [F.conv(F.substring("_sha", 16 * i + 1, 16), 16, -10).cast("long").alias(f"_q{i}") for i in range(4)]
-    keys = ["_r", "_n", "_kind", "_g", "_id", "_chars", *[f"_q{i}" for i in range(4)]]
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("_t").alias("t")), F.struct(F.lit(1).alias("k"), F.col("_edited").alias("t"))))
-    texts = rows.select("_r", "_n", "_g", "_id", F.char_length("_t").cast("long").alias("_chars"), *quarters, kinds.alias("_x"))
-    texts = texts.select("*", F.col("_x.k").alias("_kind"), F.col("_x.t").alias("_text")).where("_text is not null")
-    found = signatures(texts, keys, "_text", samples)
-    one = found.groupBy(*[k for k in keys if k != "_kind"]).agg(
-        F.max(F.when(F.col("_kind") == 0, F.col("signature"))).alias("own"), F.max(F.when(F.col("_kind") == 1, F.col("signature"))).alias("other")
+    # Keys of the aggregations stay narrow: what else is reported joins where it lies, by the range and the row's number.
+    kinds = F.array(F.struct(F.lit(0).alias("k"), F.col("_t").alias("t")), F.struct(F.lit(1).alias("k"), F.col("_edited").alias("t")))
+    texts = rows.select("_r", "_n", F.explode(kinds).alias("_x")).where("_x.t is not null")
+    found = signatures(texts.select("_r", (2 * F.col("_n") + F.col("_x.k")).alias("_n"), F.col("_x.t").alias("_x")), ["_r", "_n"], "_x", samples)
+    kind = F.col("_n") % 2
+    one = found.groupBy("_r", F.shiftright("_n", 1).alias("_n")).agg(
+        F.max(F.when(kind == 0, F.col("signature"))).alias("own"), F.max(F.when(kind == 1, F.col("signature"))).alias("other")
     )
+    about = rows.select("_r", "_n", "_g", "_id", F.char_length("_t").cast("long").alias("_chars"), F.sha2("_edited", 256).alias("_sha"))
+    one = about.join(one, ["_r", "_n"])
     out = one.withColumn("next", F.lead("own").over(Window.partitionBy("_r").orderBy("_n"))).where("_g = 0")
-    sha = F.concat(*[F.lower(F.lpad(F.hex(f"_q{i}"), 16, "0")) for i in range(4)])
     return out.select(
-        F.col("_id").alias(id_col), F.col("_chars").alias("n_chars"), sha.alias("edited_sha256"), digits("own").alias("fingerprint"),
+        F.col("_id").alias(id_col), F.col("_chars").alias("n_chars"), F.col("_sha").alias("edited_sha256"), digits("own").alias("fingerprint"),
         digits("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"),
     )
