@@ -41,8 +41,9 @@ def map_text(
     """
     at = df.columns.index(column)
     keep = [i for i, c in enumerate(df.columns) if c not in drop]
-    names = [*[df.columns[i] for i in keep], *[f.name for f in fields]]
-    schema = T.StructType([*[df.schema.fields[i] for i in keep], *fields])
+    names = [f"_c{i}" for i in range(len(keep) + len(fields))]  # a frame's own names may hold dots
+    kinds = [*[df.schema.fields[i] for i in keep], *fields]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,7 +51,7 @@ def map_text(
             new = work(texts, batch)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], *new], names=names)
 
-    return df.mapInArrow(run, schema)
+    return set_aside(df).mapInArrow(run, schema).toDF(*[f.name for f in kinds])
 
 
 def set_aside(df: DataFrame) -> DataFrame:
