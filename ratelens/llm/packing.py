@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import heapq
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +25,18 @@ BLOCK_WINDOWS = 64
 CACHE = 400_000
 
 # Characters that normalisation and lower-casing keep one to one, and whose classes are settled.
-_SIMPLE = re.compile("[\x21-\x7e\xa1-įı-ɏ]*")
-# Fixed value: the pre-token pattern of the lower-case word vocabulary.
-_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", regex.V1)
+_KEPT = "\x21-\x7e\xa1-įı-ɏ"
+_SIMPLE = re.compile(f"[{_KEPT}]*")
+_SIMPLE_TEXT = re.compile(f"[\n\x20{_KEPT}]*")
+# Their letters and numbers, as classes of a pattern.
+_LETTERS, _NUMBERS = (
+    "".join(c for c in map(chr, range(0x21, 0x250)) if _SIMPLE.fullmatch(c) and unicodedata.category(c)[0] == kind)
+    for kind in "LN"
+)
+# Fixed value: the pre-token pattern of the lower-case word vocabulary, for these characters.
+_PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+#: Stands between pre-tokens that are encoded together.
+_BETWEEN = "|"
 
 _caches: dict[str, tuple[dict, dict]] = {}
 
@@ -35,43 +44,71 @@ _caches: dict[str, tuple[dict, dict]] = {}
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, equal to those of the tokenizer.
 
-    The vocabulary drops white space and no token spans it, so a text is encoded chunk by chunk between blanks, and
-    each chunk once as long as it stays in the worker's cache.
+    The vocabulary drops white space and no token spans pre-tokens. A text of settled characters is cut into pre-tokens,
+    each encoded once as long as it stays in the worker's cache; any other is cut at blanks first, and its chunks with
+    further characters or special strings are left to the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         self.model = tokenizer(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.chunks, self.words = _caches.setdefault(path, ({}, {}))
+        found = self.model.encode(_BETWEEN, add_special_tokens=False)
+        self.between = found.ids[0] if len(found) == 1 and _BETWEEN in found.tokens[0] else None
+        # The byte-level alphabet maps printable ASCII to itself: such a pre-token is what the model is given.
+        self.merge = self.model.model.tokenize
 
     def _encoded(self, strings: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(strings, add_special_tokens=False)
+        found = self.model.encode_batch_fast(strings, add_special_tokens=False) if strings else []
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        cut: dict[str, list[str]] = {}
-        whole = []
-        for chunk in missing:
-            if _SIMPLE.fullmatch(chunk) and not any(s in chunk for s in self.special):
-                cut[chunk] = _PRE_TOKEN.findall(chunk.lower())
-            else:
-                whole.append(chunk)
+    def _learn_words(self, parts: list[str]) -> None:
+        """Put pre-tokens into the cache: encoded as one text, which is cut where the mark between them stands."""
         words = self.words
-        new = list({w for parts in cut.values() for w in parts if w not in words})
-        words.update(zip(new, self._encoded(new), strict=True))
-        self.chunks.update((c, b"".join([words[w] for w in parts])) for c, parts in cut.items())
-        self.chunks.update(zip(whole, self._encoded(whole), strict=True))
+        new = [w for w in set(parts) if w not in words]
+        if len(words) + len(new) > CACHE:
+            words.clear()
+            new = list(set(parts))
+        words.update((w, np.array([t.id for t in self.merge(w)], dtype="<u4").tobytes()) for w in new if w.isascii())
+        new = [w for w in new if not w.isascii()]
+        apart = [w for w in new if self.between is None or _BETWEEN in w]
+        joined = [w for w in new if self.between is not None and _BETWEEN not in w]
+        words.update(zip(apart, self._encoded(apart), strict=True))
+        if joined:
+            text = f" {_BETWEEN} ".join(joined)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.between)).tolist(), 4 * len(ids)]
+            data, at = ids.tobytes(), 0
+            for word, stop in zip(joined, ends, strict=True):
+                words[word] = data[at:stop]
+                at = stop + 4
+
+    def _ids(self, parts: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.words.__getitem__, parts))
+        except KeyError:
+            self._learn_words(parts)
+            return b"".join(map(self.words.__getitem__, parts))
+
+    def _is_simple(self, text: str, pattern: re.Pattern) -> bool:
+        return pattern.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def _simple(self, text: str) -> bytes:
+        return self._ids(_PRE_TOKEN.findall(text.lower()))
 
     def encode(self, text: str) -> bytes:
+        if self._is_simple(text, _SIMPLE_TEXT):
+            return self._simple(text)
         parts = text.replace("\n", " ").split(" ")
         missing = [p for p in set(parts) if p not in self.chunks]
         if missing:
             if len(self.chunks) + len(missing) > CACHE:
                 self.chunks.clear()
                 missing = list(set(parts))
-            self._learn(missing)
+            whole = [p for p in missing if not self._is_simple(p, _SIMPLE)]
+            self.chunks.update(zip(whole, self._encoded(whole), strict=True))
+            simple = set(missing).difference(whole)
+            self.chunks.update((p, self._simple(p)) for p in simple)
         return b"".join(map(self.chunks.__getitem__, parts))
 
 

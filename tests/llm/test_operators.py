@@ -147,3 +147,16 @@ def test_held_out_is_a_crc_of_the_id(spark):
 
     rows = spark.range(50).select("id", toxicity.held_out(F.col("id"), 4, 2).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
+
+
+def test_packing_encoder_equals_the_tokenizer():
+    import numpy as np
+    import public_tokenizers
+
+    from ratelens.llm.packing import Encoder
+
+    texts = ["", " ", "it's 12 o'clock||x | y", "É²¼ Straße\nÀ'LL", "tab\tİ ǅ <|endoftext|> b", "日本 éx | ", "zq" * 300, LONG[:5000]]
+    encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text in texts:
+        ids = encoder.model.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(ids, dtype="<u4").tobytes()
