@@ -79,9 +79,11 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
-def fit(samples: list[Terms], labels: list[int], *, l1: float = 1e-3, decay: float = 1e-3, rate: float = 0.1) -> FactorizationMachine:
-    """Fit by AdaGrad on the logistic loss; an L1 penalty zeroes the weights of terms without a say.
+def fit(samples: list[Terms], labels: list[int], *, sparsity: float = 3e-3, decay: float = 1e-3, rate: float = 0.05) -> FactorizationMachine:
+    """Fit by AdaGrad on the logistic loss; a group penalty zeroes a term's weight and factors together.
 
+    A term whose weight is zero stays as long as its interactions count; terms are left out only where both are zero, so
+    the machine scores just as it was fitted.
     Without samples, or with one class only, the machine scores its bias. Equal input gives an equal model.
     """
     y = np.array(labels, dtype=np.float64)
@@ -98,7 +100,7 @@ def fit(samples: list[Terms], labels: list[int], *, l1: float = 1e-3, decay: flo
         at = np.minimum(np.searchsorted(kept, t), len(kept) - 1)
         known = kept[at] == t
         rows.append((at[known], x[known]))
-    gw, gv, gb = np.full(len(w), 1e-8), np.full(v.shape, 1e-8), 1e-8
+    gw, gv, gb = np.full(len(w), 1e-3), np.full(v.shape, 1e-3), 1e-3  # no first step is much longer than others
     order = np.random.default_rng(11)
     for _ in range(EPOCHS):
         for batch in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 64)):
@@ -117,14 +119,15 @@ def fit(samples: list[Terms], labels: list[int], *, l1: float = 1e-3, decay: flo
             gw[some] += step**2
             speed = rate / np.sqrt(gw[some])
             moved = w[some] - speed * step
-            w[some] = np.sign(moved) * np.maximum(np.abs(moved) - speed * l1, 0)
             pull = error[:, None] * (total[own] - vx)
             step = np.stack([np.bincount(place, pull[:, f], len(some)) for f in range(FACTORS)], axis=1)
             step += decay * v[some]
             gv[some] += step**2
-            v[some] -= 0.1 * rate * step / np.sqrt(gv[some])
-    v[w == 0] = 0  # terms without a weight take part in no interaction
-    used = np.flatnonzero(w)
+            turned = v[some] - rate * step / np.sqrt(gv[some])
+            norm = np.sqrt(moved**2 + (turned**2).sum(axis=1))
+            kept_share = np.maximum(0, 1 - speed * sparsity / np.maximum(norm, 1e-12))
+            w[some], v[some] = moved * kept_share, turned * kept_share[:, None]
+    used = np.flatnonzero((w != 0) | (v != 0).any(axis=1))
     return FactorizationMachine({int(kept[k]): i for i, k in enumerate(used)}, float(bias), w[used], v[used])
 
 

@@ -160,3 +160,21 @@ def test_packing_encoder_equals_the_tokenizer():
     for text in texts:
         ids = encoder.model.encode(text, add_special_tokens=False).ids
         assert encoder.encode(text) == np.array(ids, dtype="<u4").tobytes()
+
+
+def test_toxicity_learns_what_only_two_terms_together_say():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+
+    def texts(rows):
+        out = []
+        for a, b in draw.integers(0, 2, (rows, 2)):
+            words = [f"fill{n}" for n in draw.integers(0, 40, 8)] + ["insultx"] * a + ["groupx"] * b
+            out.append((" ".join(draw.permutation(words)).encode(), int(a == b)))  # each word alone says nothing
+        return out
+
+    seen = texts(600)
+    model = toxicity.fit([toxicity.terms(t) for t, _ in seen], [y for _, y in seen])
+    new = texts(300)
+    assert sum((model.score(t) >= toxicity.THRESHOLD) == y for t, y in new) >= 0.95 * len(new)
