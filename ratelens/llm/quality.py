@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +31,17 @@ _CLASS = np.full(256, _CLASSES - 1, dtype=np.int64)
 for _n, _group in enumerate(_GROUPS):
     _CLASS[list(_group)] = _n
 _CLASS[128:] = len(_GROUPS)
-#: Terms are triples of character classes and the repetitions of words and word pairs.
-TERMS = _CLASSES**3 + 4
+#: Slots of hashed words.
+WORDS = 4096
+_SHAPES = _CLASSES**3 + 4
+#: Terms are hashed words and, as further ones, triples of character classes and the repetitions of words and word pairs.
+TERMS = _SHAPES + WORDS
 
 
 def term_vector(text: bytes) -> np.ndarray:
     """Roots of the shares of a text's terms; zero for an empty text.
 
-    Repetition terms: pairs of words that occurred before and others, words equal to the one before and others.
+    Words are what lies between blanks, in lower case, placed by their CRC-32. Repetition terms: pairs of words that occurred before and others, words equal to the one before and others.
     """
     out = np.zeros(TERMS, dtype=np.float32)
     if not text:
@@ -49,7 +54,25 @@ def term_vector(text: bytes) -> np.ndarray:
         pairs = len(words) - 1
         again = 1 - len(set(zip(words, words[1:], strict=False))) / pairs
         twice = sum(map(bytes.__eq__, words, words[1:])) / pairs
-        out[_CLASSES**3 :] = np.sqrt([again, 1 - again, twice, 1 - twice])
+        out[_CLASSES**3 : _SHAPES] = np.sqrt([again, 1 - again, twice, 1 - twice])
+    said = Counter(words)
+    if said:
+        slots = np.fromiter((zlib.crc32(w) % WORDS for w in said), np.int64, len(said))
+        out[_SHAPES:] = np.sqrt(np.bincount(slots, np.fromiter(said.values(), np.float64, len(said)), WORDS) / said.total())
+    return out
+
+
+def _packed(vector: np.ndarray) -> bytes:
+    """Places and values of what is not zero."""
+    at = np.flatnonzero(vector)
+    return at.astype("<u2").tobytes() + vector[at].astype("<f4").tobytes()
+
+
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(packed), TERMS), dtype=np.float32)
+    for row, data in zip(out, packed, strict=True):
+        n = len(data) // 6
+        row[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f4", n, 2 * n)
     return out
 
 
@@ -103,11 +126,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     found = labelled_sample(docs, labels, label, id_col, text_col, HELD_OUT_PARTS, HELD_OUT_PART, sample)
 
     def work(texts: list[bytes], _: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array([term_vector(t).tobytes() for t in texts], type=pa.binary())]
+        return [pa.array([_packed(term_vector(t)) for t in texts], type=pa.binary())]
 
     rows = map_text(found, "_text", [T.StructField("_terms", T.BinaryType())], work, ("_text",))
-    learnt = rows.orderBy("_id", "_terms").select("_terms", "_label").toArrow()  # at most ``sample`` ids of TERMS * 4 bytes
-    seen = np.frombuffer(b"".join(learnt["_terms"].to_pylist()), dtype=np.float32).reshape(-1, TERMS)
+    learnt = rows.orderBy("_id", "_terms").select("_terms", "_label").toArrow()  # ``sample`` ids, at most TERMS * 6 bytes a row
+    seen = _unpacked(learnt["_terms"].to_pylist())
     return fit(seen, np.array(learnt["_label"].to_pylist(), dtype=np.int64) > 0)
 
 

@@ -178,3 +178,21 @@ def test_toxicity_learns_what_only_two_terms_together_say():
     model = toxicity.fit([toxicity.terms(t) for t, _ in seen], [y for _, y in seen])
     new = texts(300)
     assert sum((model.score(t) >= toxicity.THRESHOLD) == y for t, y in new) >= 0.95 * len(new)
+
+
+def test_quality_reads_words_not_layout_alone():
+    import numpy as np
+
+    good, bad = ["calm", "river", "window", "lantern"], ["zarp", "quolt", "blexid", "fronzak"]
+    draw = np.random.default_rng(5)
+
+    def texts(rows):
+        shapes = draw.integers(0, 4, (rows, 30))
+        return [(" ".join((good if n % 2 else bad)[k] for k in shape).encode(), n % 2) for n, shape in enumerate(shapes)]
+
+    seen, new = texts(200), texts(100)
+    judge = quality.fit(np.stack([quality.term_vector(t) for t, _ in seen]), [y for _, y in seen])
+    score = judge.score(np.stack([quality.term_vector(t) for t, _ in new]))
+    assert ((score >= quality.THRESHOLD) == [y for _, y in new]).mean() >= 0.95
+    vector = quality.term_vector(seen[0][0])
+    assert (quality._unpacked([quality._packed(vector)])[0] == vector).all()
