@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ratelens.llm.common import named, text_of
 
-#: Samples of a fingerprint.
-SAMPLES = 24
+#: Samples of a fingerprint: a likeness p has a standard error of sqrt(p (1 - p) / SAMPLES), at most 0.0442 (0.0354 at 0.8).
+SAMPLES = 128
 #: Partitions of texts per shuffle partition, as the terms of a partition's texts are counted in memory, and ranges of
 #: ids per such partition.
 PARTS, RANGES = 4, 2
@@ -52,7 +52,7 @@ def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMP
 
 
 def likeness(a: str | Column, b: str | Column) -> Column:
-    """Share of equal samples of two signatures."""
+    """Share of equal samples of two signatures: their similarity with a standard error of at most 0.5 / sqrt(samples)."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return same / F.size(a)
 

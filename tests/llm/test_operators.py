@@ -196,3 +196,23 @@ def test_quality_reads_words_not_layout_alone():
     assert ((score >= quality.THRESHOLD) == [y for _, y in new]).mean() >= 0.95
     vector = quality.term_vector(seen[0][0])
     assert (quality._unpacked([quality._packed(vector)])[0] == vector).all()
+
+
+def test_fingerprints_are_within_three_standard_errors(spark):
+    def jaccard(a, b):
+        a, b = (Counter(re.split("[ \t\r\n]+", x)) for x in (a, b))
+        return sum((a & b).values()) / sum((a | b).values())
+
+    texts = []
+    for i in range(60):  # neighbours share between none and nearly all of their words
+        shared = 3 * i + 10
+        texts += [" ".join(f"s{i}x{k}" for k in range(shared)) + " " + " ".join(f"{side}{i}x{k}" for k in range(200 - shared)) for side in "ab"]
+    found = {r.doc_id: r for r in edited_fingerprints(frame(spark, texts)).collect()}
+    errors = []
+    for i in range(1, len(texts), 2):
+        true = jaccard(texts[i], texts[i - 1])
+        errors.append((found[i].near_next - true) / (true * (1 - true) / 128) ** 0.5)
+    assert max(map(abs, errors)) < 4  # of 60 draws; three standard errors hold for nearly all
+    assert sum(abs(e) > 3 for e in errors) <= 1
+    assert abs(sum(errors)) / len(errors) < 3 / len(errors) ** 0.5
+    assert len(found[0].fingerprint) == 8 * 128
