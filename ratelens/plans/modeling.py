@@ -288,15 +288,15 @@ _SUMMARY_SQL = """round(avg(MAE), 6) AS mean_MAE, round(avg(RMSE), 6) AS mean_RM
  round(stddev_samp(MAE), 6) AS std_MAE, round(stddev_samp(RMSE), 6) AS std_RMSE"""
 
 
-# Small forests: the published size is a parameter, not something a check should fit.
-_TRIAL = {"numTrees": 5, "maxDepth": 8}
+# The published forest; depth 0 is unbounded.
+_PUBLISHED = {"numTrees": 300, "maxFeatures": 0.8, "minSamplesLeaf": 2, "maxDepth": 0}
 
 
 def _tree_scores(spark, folder):
     """Randomised trees fitted on the training rows, applied to the validation rows."""
     train, valid = _split(spark, folder)
     with prepared(train, valid) as (roles, fit_rows, score_on):
-        model = extra_trees(roles, **_TRIAL).fit(fit_rows)
+        model = extra_trees(roles, **_PUBLISHED).fit(fit_rows)
     scored = m.floor_predictions(model.transform(score_on))
     return rounded(scored.select("load_id", TARGET, PREDICTION), 6)
 
@@ -305,7 +305,7 @@ def _final_scores(spark, folder):
     """Final fit on every labelled row, saved, loaded again and applied to the latest loads."""
     path = scratch_path(spark, "final-model")
     table = features(spark, folder)
-    final_fit(table, path, **_TRIAL)
+    final_fit(table, path, **_PUBLISHED)
     latest = sp.holdout(clean(spark, folder), CUT)[1].drop(TARGET)
     return rounded(score_batch(latest, load_model(spark, path)), 6)
 
@@ -356,7 +356,7 @@ QUERIES = {
     ),
     "ml18_model_comparison": Query(_comparison, _baseline_metrics_sql("'dummy_mean' AS model, ")),
     "ml17_18_compare_models": Query(
-        lambda s, d: _rounded_metrics(compare_models(features(s, d), CUT, default_models(**_TRIAL)))
+        lambda s, d: _rounded_metrics(compare_models(features(s, d), CUT, default_models(**_PUBLISHED)))
     ),
     "ml19_fold_membership": Query(
         lambda s, d: sp.assign_folds(clean(s, d), FOLDS)
@@ -380,7 +380,7 @@ QUERIES = {
         )),
     ),
     "ml22_tuning_grid": Query(
-        lambda s, d: _rounded_metrics(tune(features(s, d), FOLDS[-1:], numTrees=2, maxDepth=4))
+        lambda s, d: _rounded_metrics(tune(features(s, d), FOLDS))
     ),
     "ml23_tuning_summary": Query(
         lambda s, d: rounded(m.tuning_summary(_equipment_trials(s, d)), 6),

@@ -156,3 +156,23 @@ def test_unlabelled_rows_are_not_trained_on_and_holdout_is_chronological(spark):
     model, scored = ev.evaluate_model(MeanRegressor(), train, valid)
     assert {r["predicted_rate"] for r in scored.collect()} == {(0 + 10 + 20 + 40) / 4}
     assert rate_model(df, MeanRegressor()).getStages()[-1].getLabelCol() == "posted_rate"
+
+
+def test_queries_fit_the_published_forests_on_every_fold(spark, folder, monkeypatch):
+    from ratelens.plans import modeling
+
+    fitted = []
+
+    def stop(self, rows):
+        fitted.append((self.getOrDefault("numTrees"), self.getOrDefault("maxFeatures"), self.getOrDefault("minSamplesLeaf"), self.getOrDefault("maxDepth")))
+        raise StopIteration
+
+    monkeypatch.setattr(ExtraTreesRegressor, "_fit", stop)
+    for name in ("ml12_extra_trees", "ml17_18_compare_models", "ml24_25_final_scores"):
+        with pytest.raises(StopIteration):
+            modeling.QUERIES[name].run(spark, folder)
+    assert fitted == [(300, 0.8, 2, 0)] * 3
+    grid = []
+    monkeypatch.setattr(modeling, "tune", lambda table, folds, *args, **common: grid.append((list(folds), args, common)) or spark.createDataFrame([], ev.RESULT_SCHEMA))
+    modeling.QUERIES["ml22_tuning_grid"].run(spark, folder)
+    assert grid == [(list(FOLDS), (), {})] and len(FOLDS) == 4
