@@ -46,7 +46,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-# A fitted model and a tokenizer are beyond SQL; tests hold the stages against brute force.
+# A fitted model and a tokenizer are beyond SQL. No test runs the pipeline yet.
 ORACLE_SQL = None
 
 
