@@ -14,6 +14,7 @@ from ratelens.llm.simhash import near_duplicates
 from ratelens.llm.tokens import count_tokens
 from ratelens.llm.repeats import remove_repeats
 from ratelens.llm.weighted_minhash import edited_fingerprints
+from ratelens.llm.whitening import whiten
 from ratelens.plans.common import Query
 
 
@@ -84,6 +85,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(quality.score_quality(docs, model, drop=("text",)), quality)
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened coordinates of every embedding."""
+    return whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": Query(op1_fingerprints),
     "op2_decontamination": Query(op2_decontamination),
@@ -95,4 +101,5 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": Query(op8_token_counts),
     "op9_toxicity": Query(op9_toxicity),
     "op10_quality": Query(op10_quality),
+    "op11_whitening": Query(op11_whitening),
 }
