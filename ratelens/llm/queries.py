@@ -9,7 +9,8 @@ import public_tokenizers
 from ratelens.llm.common import table
 from ratelens.llm.decontamination import find_contamination
 from ratelens.llm.packing import pack, with_checksum
-from ratelens.llm import chat, quality, secrets, toxicity
+from ratelens.llm import chat, quality, secrets, sql, toxicity
+from ratelens.llm.collocations import collocations
 from ratelens.llm.simhash import near_duplicates
 from ratelens.llm.tokens import count_tokens
 from ratelens.llm.repeats import remove_repeats
@@ -90,6 +91,11 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": Query(op1_fingerprints),
     "op2_decontamination": Query(op2_decontamination),
@@ -102,4 +108,5 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": Query(op9_toxicity),
     "op10_quality": Query(op10_quality),
     "op11_whitening": Query(op11_whitening),
+    "op12_collocations": Query(op12_collocations, sql.COLLOCATIONS),
 }
