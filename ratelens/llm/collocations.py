@@ -3,7 +3,8 @@
 A sample of the rows proposes phrases at a lowered threshold. One pass over all rows counts, exactly, the proposed phrases and
 their negative border: phrases that are not proposed while their parts without the first and the last word are (all words
 belong to it). The border is never listed: a task tests the two parts of every phrase it meets. Where a phrase of the border
-turns out to be frequent, its extensions have not been counted; another pass does that, until no new one is frequent.
+turns out to be frequent, its extensions have not been counted; an expansion pass counts those, and theirs at once, which
+closes the set: the parts of a frequent phrase that is not counted yet are frequent, so proposed, missed or counted now.
 
 Tasks get the proposals as a bitmap of fixed size. Two phrases may share a bit; that only makes a task count more.
 """
@@ -27,7 +28,7 @@ SUPPORT, LONGEST, TOP, NO_LANG = 100, 5, 2000, "und"
 #: One row in SHARE is sampled; a phrase with SUPPORT occurrences falls below the lowered threshold at DEVIATIONS of its spread.
 SHARE, DEVIATIONS = 8, 2.0
 #: Bits of the bitmap (as a power of two), bytes of text that are counted at once.
-BITS, SLICE = 27, 1 << 22
+BITS, SLICE = 27, 1 << 21
 
 # Constants of the published splitmix64 bit mixer, and two odd numbers as bases.
 _GOLDEN, _MIX_1, _MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -110,34 +111,40 @@ def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[starts], np.diff(np.append(starts, len(a)))
 
 
-def _counter(hashers: list[_Hasher], known: np.ndarray, counted: np.ndarray | None, sizes: range, texts: bool):
-    """Counts of a slice: (language, words, phrase, hash, occurrences) of the phrases in question.
+class _Slice:
+    """The words of a slice with their pieces, languages and two hashes each."""
 
-    These are phrases of ``sizes`` whose parts without the last and the first word are both ``known`` (single words
-    always are in question), less those of which the same holds for ``counted``.
-    """
-
-    def count(data: bytes, ends: list[int], langs: list[str]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, hashers: list[_Hasher], data: bytes, ends: list[int], langs: list[str]):
+        self.data = data
         raw = np.frombuffer(data, dtype=np.uint8)
         kind = _KIND[raw]
         edges = np.flatnonzero(np.diff(np.concatenate(([0], (kind == 0).view(np.int8), [0]))))
-        starts, stops = edges[::2], edges[1::2]
-        piece = np.cumsum(kind == 2, dtype=np.int64)[starts]
-        names, code = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
-        doc = np.searchsorted(np.array(ends), starts, side="right")
-        lang = code[doc]
-        seeds = np.array([_seed(n) for n in names], dtype=np.uint64)
-        words = [_mix(h.words(raw, starts, stops) ^ seeds[lang]) for h in hashers]
-        if 1 in sizes and counted is None and texts:
-            totals = np.bincount(lang, minlength=len(names))
-            yield _rows(names.tolist(), 0, [b""] * len(names), np.zeros(len(names), np.uint64), totals)
-        grams, inside, before = words, None, None
-        for n in range(1, sizes.stop):
+        self.starts, self.stops = edges[::2], edges[1::2]
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts]
+        self.names, code = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
+        self.lang = code[np.searchsorted(np.array(ends), self.starts, side="right")]
+        seeds = np.array([_seed(n) for n in self.names], dtype=np.uint64)
+        self.words = [_mix(h.words(raw, self.starts, self.stops) ^ seeds[self.lang]) for h in hashers]
+
+    def grams(self, longest: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+        """Words, the two hashes and whether it lies in one piece, of the phrases that begin at each place, by length."""
+        grams = self.words
+        for n in range(1, longest + 1):
             if n > 1:
-                grams = [_mix(g[:-1] * np.uint64(_GOLDEN) + w[n - 1 :]) for g, w in zip(grams, words, strict=True)]
+                grams = [_mix(g[:-1] * np.uint64(_GOLDEN) + w[n - 1 :]) for g, w in zip(grams, self.words, strict=True)]
             if not len(grams[0]):
                 return
-            whole = piece[n - 1 :] == piece[: len(piece) - n + 1]
+            yield n, grams, self.piece[n - 1 :] == self.piece[: len(self.piece) - n + 1]
+
+    def counts(self, known: np.ndarray, counted: np.ndarray | None, sizes: range) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """The phrases in question by length: hashes, a place of each and how often it occurs.
+
+        These are phrases of ``sizes`` whose parts without the last and the first word are both ``known`` (single words
+        always are in question). With ``counted``, parts may also be in question themselves, and what the first rule gives
+        with that instead of ``known`` is left out.
+        """
+        inside = before = None
+        for n, grams, whole in self.grams(sizes.stop - 1):
             take = whole if n == 1 else whole & inside[:-1] & inside[1:]
             if counted is not None:
                 take = np.zeros_like(take) if n == 1 else take & ~(before[:-1] & before[1:])
@@ -145,16 +152,25 @@ def _counter(hashers: list[_Hasher], known: np.ndarray, counted: np.ndarray | No
             if n in sizes and take.any():
                 at = np.flatnonzero(take)
                 first, times = _grouped(grams[0][at], grams[1][at])
-                at = at[first]
-                phrases = None
-                if texts:
-                    cut = zip(starts[at].tolist(), stops[at + n - 1].tolist(), strict=True)
-                    phrases = [data[i:j] if n == 1 else b" ".join(data[i:j].split()) for i, j in cut]
-                yield _rows(names[lang[at]].tolist() if texts else None, n, phrases, grams[0][at], times)
+                yield n, [g[at[first]] for g in grams], at[first], times
             if n + 1 < sizes.stop:
                 inside = whole & _member(known, grams[0])
+                if counted is not None:
+                    inside |= take
 
-    return count
+    def texts(self, frequent: np.ndarray, longest: int) -> Iterator[tuple[int, list[np.ndarray], list[bytes], np.ndarray]]:
+        """The phrases that ``frequent`` may hold, by length: hashes, text and language."""
+        for n, grams, whole in self.grams(longest):
+            at = np.flatnonzero(whole & _member(frequent, grams[0]))
+            at = at[_grouped(grams[0][at], grams[1][at])[0]]
+            cut = zip(self.starts[at].tolist(), self.stops[at + n - 1].tolist(), strict=True)
+            phrases = [self.data[i:j] if n == 1 else b" ".join(self.data[i:j].split()) for i, j in cut]
+            yield n, [g[at] for g in grams], phrases, self.names[self.lang[at]]
+
+
+def _keys(n: int, hashes: list[np.ndarray]) -> list[pa.Array]:
+    """The identity of phrases of ``n`` words: a hash, and another with the number of words in its low bits."""
+    return [pa.array(hashes[0].view(np.int64)), pa.array((hashes[1] << np.uint64(3) | np.uint64(n)).view(np.int64))]
 
 
 def _seed(name: str) -> int:
@@ -165,25 +181,41 @@ def _seed(name: str) -> int:
     return out
 
 
-def _rows(langs, n: int, phrases, hashes: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    counts = [pa.array(np.full(len(times), n, np.int32)), pa.array(hashes.view(np.int64)), pa.array(times.astype(np.int64))]
-    if phrases is None:
-        return pa.RecordBatch.from_arrays(counts, names=["words", "hash", "f"])
-    texts = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())]
-    return pa.RecordBatch.from_arrays([*texts, *counts], names=["lang", "phrase", "words", "hash", "f"])
+def _each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
+    hashers = [_Hasher(0), _Hasher(1)]
+    for data, ends, langs in _slices(batches):
+        yield _Slice(hashers, data, ends, langs)
 
 
-def _counts(texts: DataFrame, known: Broadcast, counted: Broadcast | None, sizes: range, phrases: bool) -> DataFrame:
-    """Occurrences of the phrases in question (see ``_counter``) per task and slice."""
+def _counts(texts: DataFrame, known: Broadcast, counted: Broadcast | None, sizes: range) -> DataFrame:
+    """``hash, tag, f`` of the phrases in question (see ``_Slice.counts``) over all ``texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers = [_Hasher(0), _Hasher(1)]
-        count = _counter(hashers, known.value, counted.value if counted else None, sizes, phrases)
-        for data, ends, langs in _slices(batches):
-            yield from count(data, ends, langs)
+        for part in _each_slice(batches):
+            for n, hashes, _, times in part.counts(known.value, counted.value if counted else None, sizes):
+                yield pa.RecordBatch.from_arrays([*_keys(n, hashes), pa.array(times.astype(np.int64))], names=["hash", "tag", "f"])
 
-    schema = "words int, hash long, f long"
-    return texts.mapInArrow(run, f"lang string, phrase string, {schema}" if phrases else schema)
+    return texts.mapInArrow(run, "hash long, tag long, f long").groupBy("hash", "tag").agg(F.sum("f").alias("f"))
+
+
+def _texts(texts: DataFrame, frequent: Broadcast, longest: int) -> DataFrame:
+    """``hash, tag, lang, phrase`` of the phrases that ``frequent`` may hold; f, with a null hash, for a language's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["hash", "tag", "lang", "phrase", "f"]
+        for part in _each_slice(batches):
+            totals, k = np.bincount(part.lang, minlength=len(part.names)), len(part.names)
+            none = pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(part.names.tolist(), pa.string()), pa.nulls(k, pa.string()), pa.array(totals.astype(np.int64))], names=names)
+            for n, hashes, phrases, langs in part.texts(frequent.value, longest):
+                k = len(phrases)
+                text = [pa.array(langs.tolist(), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*_keys(n, hashes), *text, pa.nulls(k, pa.int64())], names=names)
+
+    found = texts.mapInArrow(run, "hash long, tag long, lang string, phrase string, f long")
+    # Rows without hash differ by language: the sum of words is that of the language.
+    keys = ["hash", "tag", F.when(F.col("hash").isNull(), F.col("lang")).alias("of")]
+    return found.groupBy(*keys).agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"), F.sum("f").alias("n")).drop("of")
 
 
 def _bitmap(hashes: DataFrame, onto: np.ndarray) -> np.ndarray:
@@ -206,8 +238,7 @@ def _propose(sample: DataFrame, support: int, longest: int) -> np.ndarray:
     bits = np.zeros((1 << BITS) // 8, dtype=np.uint8)
     for n in range(1, longest):
         shared = context.broadcast(bits)
-        found = _counts(sample, shared, None, range(n, n + 1), False).groupBy("hash").agg(F.sum("f").alias("f"))
-        bits = _bitmap(found.where(F.col("f") >= lowered), bits)
+        bits = _bitmap(_counts(sample, shared, None, range(n, n + 1)).where(F.col("f") >= lowered), bits)
         shared.destroy()
     return bits
 
@@ -218,47 +249,38 @@ def frequent_phrases(
     """``lang, phrase, words, f``: phrases of up to ``longest`` words with at least ``support`` occurrences in their language.
 
     Rows with 0 ``words`` and an empty phrase hold the number of all words of a language. Null texts are empty, a null
-    language is NO_LANG, repeated rows count each, an empty table gives no rows. The frequent phrases lie in tables in the
-    shared folder; texts are read once for the sample, once for the counts and once for every further pass.
+    language is NO_LANG, repeated rows count each, an empty table gives no rows.
+
+    Counts go by two hashes of 125 bits together; texts are read for the sample, for the counts, for an expansion pass
+    where the sample missed something, and once more for the wording of what is frequent. All tables lie in the shared folder.
     """
     context = docs.sparkSession.sparkContext
-    texts = docs.select(F.coalesce(named(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), text_of(text_col).alias("text"))
-    texts = texts.where("text != ''")
-    sampled = F.pmod(F.xxhash64(*[named(c) for c in docs.columns if c != lang_col and _hashable(docs, c)]), F.lit(SHARE)) == 0
-    drawn = docs.where(sampled).select(F.coalesce(named(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), text_of(text_col).alias("text"))
-    known = _propose(scratch_table(drawn.where("text != ''"), "sample"), support, longest)
-    counted: Broadcast | None = None
-    out: DataFrame | None = None
-    while True:
-        shared = context.broadcast(known)
-        each = _counts(texts, shared, counted, range(1, longest + 1), True)
-        sums = each.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"), F.max("hash").alias("hash"))
-        found = scratch_table(sums.where((F.col("f") >= support) | (F.col("words") == 0)), "phrases")
-        out = found if out is None else out.unionByName(found)
-        if counted is not None:
-            counted.destroy()
-        counted = shared
-        missed = _outside(found.where(f"words between 1 and {longest - 1}").select("hash"), shared)
-        further = _bitmap(missed, known)
-        if np.array_equal(further, known):
-            counted.destroy()
-            return out.select("lang", "phrase", "words", "f")
-        known = further
+    plain = [F.coalesce(named(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), text_of(text_col).alias("text")]
+    texts = docs.select(*plain).where("text != ''")
+    drawn = F.pmod(F.xxhash64(*[named(c) for c in docs.columns if c != lang_col and _hashable(docs, c)]), F.lit(SHARE)) == 0
+    known = _propose(scratch_table(docs.where(drawn).select(*plain).where("text != ''"), "sample"), support, longest)
+    first = context.broadcast(known)
+    found = scratch_table(_counts(texts, first, None, range(1, longest + 1)).where(F.col("f") >= support), "phrases")
+    missed = _bitmap(found.where(F.col("tag").bitwiseAND(7) < longest), known)
+    if not np.array_equal(missed, known):
+        second = context.broadcast(missed)
+        new = _counts(texts, second, first, range(1, longest + 1)).where(F.col("f") >= support)
+        found = found.unionByName(scratch_table(new, "phrases"))
+        second.destroy()
+    first.destroy()
+    shared = context.broadcast(_bitmap(found, np.zeros_like(known)))
+    worded = scratch_table(_texts(texts, shared, longest), "worded")
+    shared.destroy()
+    phrases = worded.where("hash is not null").join(found, ["hash", "tag"])
+    words = F.col("tag").bitwiseAND(7).cast("int").alias("words")
+    totals = worded.where("hash is null").select("lang", F.lit("").alias("phrase"), F.lit(0).alias("words"), F.col("n").alias("f"))
+    return scratch_table(phrases.select("lang", "phrase", words, "f").unionByName(totals), "frequent")
 
 
 def _hashable(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.typeName() not in ("map", "variant")
 
 
-def _outside(hashes: DataFrame, known: Broadcast) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            inside = _member(known.value, batch.column(0).to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(~inside))
-
-    return hashes.mapInArrow(run, "hash long")
-
-
 def collocations(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST, top: int = TOP
 ) -> DataFrame:

@@ -19,12 +19,12 @@ COLLOCATIONS = f"""WITH pieces AS (
    FROM candidates, unnest(range(2, k)) AS s(j), unnest(range(1, k - j + 2)) AS u(i)),
  kept AS (SELECT c.* FROM candidates c WHERE NOT EXISTS
    (SELECT 1 FROM inside x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.a >= 100 * c.a)),
- cuts AS (SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, cast(t.n AS BIGINT) AS n,
+ cuts AS (SELECT c.lang, c.phrase, c.a, c.k, c.part, l.f AS l, r.f AS r, cast(t.n AS BIGINT) AS n,
    cast(cast(1000 AS HUGEINT) * c.a * t.n // (cast(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
-   FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c
-   JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ')
-   JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:k], ' ')
+   FROM (SELECT *, unnest(range(1, k)) AS part FROM kept) c
+   JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.part], ' ')
+   JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.part + 1:c.k], ' ')
    JOIN totals t ON t.lang = c.lang),
- least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+ least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, part) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM least QUALIFY rank <= {TOP}"""
