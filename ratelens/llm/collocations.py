@@ -26,13 +26,13 @@ from ratelens.llm.common import named, scratch_table, text_of
 #: Least occurrences and most words of a phrase, phrases returned per language, name of a null language.
 SUPPORT, LONGEST, TOP, NO_LANG = 100, 5, 2000, "und"
 #: One row in SHARE is sampled; a phrase with SUPPORT occurrences falls below the lowered threshold at DEVIATIONS of its spread.
-SHARE, DEVIATIONS = 8, 2.0
+SHARE, DEVIATIONS = 8, 0.5
 #: Bits of the bitmap (as a power of two), bytes of text that are counted at once.
 BITS, SLICE = 27, 1 << 21
 
-# Constants of the published splitmix64 bit mixer, and two odd numbers as bases.
+# Constants of the published splitmix64 bit mixer, and an odd number as base.
 _GOLDEN, _MIX_1, _MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-_BASES = (0xD6E8FEB86659FD93, 0xCA5A826395121157)
+_BASE = 0xD6E8FEB86659FD93
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -46,22 +46,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hasher:
-    """Hashes of words from running sums over the bytes; powers are kept as long as the longest slice so far."""
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_GOLDEN))
 
-    def __init__(self, number: int):
-        self.base = _BASES[number]
-        self.values = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_GOLDEN) + np.uint64(number))
-        self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.up) <= len(data):
-            powers = np.ones((2, len(data) + 1), dtype=np.uint64)
-            powers[0, 1:], powers[1, 1:] = np.uint64(self.base), np.uint64(pow(self.base, -1, 1 << 64))
+class _Powers:
+    """Powers of the base of the hashes and of its inverse, kept from slice to slice."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(0, dtype=np.uint64)
+
+    def upto(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < length:
+            powers = np.ones((2, length + SLICE // 8), dtype=np.uint64)
+            powers[0, 1:], powers[1, 1:] = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
             self.up, self.down = np.multiply.accumulate(powers, axis=1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.values[data] * self.up[: len(data)], out=sums[1:])
-        return _mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        return self.up[:length], self.down
+
+
+def _word_hashes(data: bytes, starts: np.ndarray, stops: np.ndarray, powers: _Powers) -> list[np.ndarray]:
+    """Two hashes of each word: one of all its bytes, from running sums, and one of its length and first and last eight."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    up, down = powers.upto(len(raw))
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.multiply(_BYTES[raw], up, out=sums[1:])
+    np.cumsum(sums, out=sums)
+    size = (stops - starts).astype(np.uint64)
+    one = _mix((sums[stops] - sums[starts]) * down[starts] + size)
+    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=data + bytes(8), strides=(1,))
+    beyond = np.uint64(64) - np.uint64(8) * np.minimum(size, np.uint64(8))
+    two = _mix(eight[starts] << beyond ^ _mix(eight[np.maximum(stops - 8, starts)] << beyond ^ size))
+    return [one, two]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[int], list[str]]]:
@@ -114,108 +128,134 @@ def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Slice:
     """The words of a slice with their pieces, languages and two hashes each."""
 
-    def __init__(self, hashers: list[_Hasher], data: bytes, ends: list[int], langs: list[str]):
+    def __init__(self, powers: _Powers, data: bytes, ends: list[int], langs: list[str]):
         self.data = data
-        raw = np.frombuffer(data, dtype=np.uint8)
-        kind = _KIND[raw]
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], (kind == 0).view(np.int8), [0]))))
+        kind = _KIND[np.frombuffer(data, dtype=np.uint8)]
+        edges = np.flatnonzero(np.diff(kind == 0, prepend=False, append=False))
         self.starts, self.stops = edges[::2], edges[1::2]
         self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts]
         self.names, code = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
         self.lang = code[np.searchsorted(np.array(ends), self.starts, side="right")]
         seeds = np.array([_seed(n) for n in self.names], dtype=np.uint64)
-        self.words = [_mix(h.words(raw, self.starts, self.stops) ^ seeds[self.lang]) for h in hashers]
-
-    def grams(self, longest: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
-        """Words, the two hashes and whether it lies in one piece, of the phrases that begin at each place, by length."""
-        grams = self.words
-        for n in range(1, longest + 1):
-            if n > 1:
-                grams = [_mix(g[:-1] * np.uint64(_GOLDEN) + w[n - 1 :]) for g, w in zip(grams, self.words, strict=True)]
-            if not len(grams[0]):
-                return
-            yield n, grams, self.piece[n - 1 :] == self.piece[: len(self.piece) - n + 1]
+        self.words = [_mix(w ^ seeds[self.lang]) for w in _word_hashes(data, self.starts, self.stops, powers)]
 
-    def counts(self, known: np.ndarray, counted: np.ndarray | None, sizes: range) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
-        """The phrases in question by length: hashes, a place of each and how often it occurs.
+    def _longer(self, grams: list[np.ndarray], n: int, fits: np.ndarray) -> np.ndarray:
+        """Places of phrases of ``n`` words in one piece whose parts without the last and the first word both fit.
 
-        These are phrases of ``sizes`` whose parts without the last and the first word are both ``known`` (single words
-        always are in question). With ``counted``, parts may also be in question themselves, and what the first rule gives
-        with that instead of ``known`` is left out.
+        ``grams`` holds the hashes of the shorter phrases and gets those of the longer ones, at their places.
         """
-        inside = before = None
-        for n, grams, whole in self.grams(sizes.stop - 1):
-            take = whole if n == 1 else whole & inside[:-1] & inside[1:]
-            if counted is not None:
-                take = np.zeros_like(take) if n == 1 else take & ~(before[:-1] & before[1:])
-                before = whole & _member(counted, grams[0])
-            if n in sizes and take.any():
-                at = np.flatnonzero(take)
-                first, times = _grouped(grams[0][at], grams[1][at])
-                yield n, [g[at[first]] for g in grams], at[first], times
-            if n + 1 < sizes.stop:
-                inside = whole & _member(known, grams[0])
-                if counted is not None:
-                    inside |= take
-
-    def texts(self, frequent: np.ndarray, longest: int) -> Iterator[tuple[int, list[np.ndarray], list[bytes], np.ndarray]]:
-        """The phrases that ``frequent`` may hold, by length: hashes, text and language."""
-        for n, grams, whole in self.grams(longest):
-            at = np.flatnonzero(whole & _member(frequent, grams[0]))
-            at = at[_grouped(grams[0][at], grams[1][at])[0]]
-            cut = zip(self.starts[at].tolist(), self.stops[at + n - 1].tolist(), strict=True)
-            phrases = [self.data[i:j] if n == 1 else b" ".join(self.data[i:j].split()) for i, j in cut]
-            yield n, [g[at] for g in grams], phrases, self.names[self.lang[at]]
+        at = np.flatnonzero(fits[: len(fits) - n + 1] & fits[1 : len(fits) - n + 2])
+        at = at[self.piece[at] == self.piece[at + n - 1]]
+        for g, w in zip(grams, self.words, strict=True):
+            g[at] = _mix(g[at] * np.uint64(_GOLDEN) + w[at + n - 1])
+        return at
+
+    def counts(self, known: np.ndarray, sizes: range) -> Iterator[pa.RecordBatch]:
+        """``hash, tag, f``: occurrences of the phrases of ``sizes`` words whose two parts are ``known``, and of all words."""
+        grams, at = [w.copy() for w in self.words], np.arange(len(self.starts))
+        for n in range(1, min(sizes.stop - 1, len(at)) + 1):
+            if n > 1:
+                at = self._longer(grams, n, fits)  # noqa: F821
+            if n in sizes:
+                hashes = [g[at] for g in grams]
+                first, times = _grouped(*hashes)
+                yield pa.RecordBatch.from_arrays([*_keys(n, [h[first] for h in hashes]), pa.array(times.astype(np.int64))], names=_COUNTED)
+            fits = np.zeros(len(self.starts), dtype=bool)
+            fits[at] = _member(known, grams[0][at])
+
+    def expansions(self, known: np.ndarray, counted: np.ndarray, wanted: np.ndarray, longest: int, seen: set) -> Iterator[pa.RecordBatch]:
+        """``hash, tag, f, lang, phrase`` of the phrases that ``counts`` leaves out, if it gets ``counted``, and should not.
+
+        Their parts are ``known`` or such phrases themselves. What is ``wanted`` comes along with no occurrences and once
+        per task, which ``seen`` remembers. Rows with a null hash hold the words of each language.
+        """
+        totals, none = np.bincount(self.lang, minlength=len(self.names)), pa.nulls(len(self.names), pa.int64())
+        parts = [none, none.cast(pa.int32()), pa.array(totals.astype(np.int64)), pa.array(self.names.tolist(), pa.string())]
+        yield pa.RecordBatch.from_arrays([*parts, pa.nulls(len(totals), pa.string())], names=_WORDED)
+        grams, at = [w.copy() for w in self.words], np.arange(len(self.starts))
+        for n in range(1, min(longest, len(at)) + 1):
+            if n > 1:
+                at = self._longer(grams, n, fits)  # noqa: F821
+            new = ~(before[at] & before[at + 1]) if n > 1 else np.zeros(len(at), dtype=bool)  # noqa: F821
+            look = np.flatnonzero(new | _member(wanted, grams[0][at]))
+            if len(look):
+                hashes = [g[at[look]] for g in grams]
+                first, times = _grouped(*hashes)
+                yield self._worded(n, [h[first] for h in hashes], at[look[first]], np.where(new[look[first]], times, 0), seen)
+            fits, before = np.zeros(len(self.starts), dtype=bool), np.zeros(len(self.starts) + 1, dtype=bool)
+            fits[at] = new | _member(known, grams[0][at])
+            before[at] = _member(counted, grams[0][at])
+
+    def wordings(self, frequent: np.ndarray, longest: int, seen: set) -> Iterator[pa.RecordBatch]:
+        """``hash, tag, f, lang, phrase`` of what ``frequent`` may hold, with no occurrences, once per task."""
+        grams, at = [w.copy() for w in self.words], np.arange(len(self.starts))
+        for n in range(1, min(longest, len(at)) + 1):
+            if n > 1:
+                at = self._longer(grams, n, fits)  # noqa: F821
+            fits = np.zeros(len(self.starts), dtype=bool)
+            fits[at] = _member(frequent, grams[0][at])
+            at = at[fits[at]]
+            hashes = [g[at] for g in grams]
+            first, times = _grouped(*hashes)
+            yield self._worded(n, [h[first] for h in hashes], at[first], np.zeros_like(times), seen)
+
+    def _worded(self, n: int, hashes: list[np.ndarray], at: np.ndarray, times: np.ndarray, seen: set) -> pa.RecordBatch:
+        keep = []
+        for i, key in enumerate(zip(hashes[0].tolist(), hashes[1].tolist(), strict=True)):
+            if times[i] or key not in seen:
+                seen.add(key)
+                keep.append(i)
+        at, cut = at[keep], zip(self.starts[at[keep]].tolist(), self.stops[at[keep] + n - 1].tolist(), strict=True)
+        phrases = [self.data[i:j] if n == 1 else b" ".join(self.data[i:j].split()) for i, j in cut]
+        texts = [pa.array(self.names[self.lang[at]].tolist(), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())]
+        return pa.RecordBatch.from_arrays([*_keys(n, [h[keep] for h in hashes]), pa.array(times[keep].astype(np.int64)), *texts], names=_WORDED)
+
+
+_COUNTED = ["hash", "tag", "f"]
+_WORDED = [*_COUNTED, "lang", "phrase"]
 
 
 def _keys(n: int, hashes: list[np.ndarray]) -> list[pa.Array]:
-    """The identity of phrases of ``n`` words: a hash, and another with the number of words in its low bits."""
-    return [pa.array(hashes[0].view(np.int64)), pa.array((hashes[1] << np.uint64(3) | np.uint64(n)).view(np.int64))]
+    """The identity of phrases of ``n`` words: a hash, and 28 bits of another above the number of words."""
+    tag = (hashes[1] >> np.uint64(36)).astype(np.uint32) << np.uint32(3) | np.uint32(n)
+    return [pa.array(hashes[0].view(np.int64)), pa.array(tag.view(np.int32))]
 
 
 def _seed(name: str) -> int:
     """A fixed 64-bit number of a language's name."""
     out = 0
     for b in name.encode():
-        out = (out * _BASES[0] + b + 1) % (1 << 64)
+        out = (out * _BASE + b + 1) % (1 << 64)
     return out
 
 
 def _each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
-    hashers = [_Hasher(0), _Hasher(1)]
+    powers = _Powers()
     for data, ends, langs in _slices(batches):
-        yield _Slice(hashers, data, ends, langs)
+        yield _Slice(powers, data, ends, langs)
 
 
-def _counts(texts: DataFrame, known: Broadcast, counted: Broadcast | None, sizes: range) -> DataFrame:
-    """``hash, tag, f`` of the phrases in question (see ``_Slice.counts``) over all ``texts``."""
+def _counts(texts: DataFrame, known: Broadcast, sizes: range) -> DataFrame:
+    """``_Slice.counts`` over all ``texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _each_slice(batches):
-            for n, hashes, _, times in part.counts(known.value, counted.value if counted else None, sizes):
-                yield pa.RecordBatch.from_arrays([*_keys(n, hashes), pa.array(times.astype(np.int64))], names=["hash", "tag", "f"])
+            yield from part.counts(known.value, sizes)
 
-    return texts.mapInArrow(run, "hash long, tag long, f long").groupBy("hash", "tag").agg(F.sum("f").alias("f"))
+    return texts.mapInArrow(run, "hash long, tag int, f long").groupBy("hash", "tag").agg(F.sum("f").alias("f"))
 
 
-def _texts(texts: DataFrame, frequent: Broadcast, longest: int) -> DataFrame:
-    """``hash, tag, lang, phrase`` of the phrases that ``frequent`` may hold; f, with a null hash, for a language's words."""
+def _worded(texts: DataFrame, method: str, maps: list[Broadcast], longest: int) -> DataFrame:
+    """``_Slice.expansions`` or ``_Slice.wordings`` over all ``texts``; languages have rows without hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hash", "tag", "lang", "phrase", "f"]
+        seen: set[tuple[int, int]] = set()  # of the task's own texts
         for part in _each_slice(batches):
-            totals, k = np.bincount(part.lang, minlength=len(part.names)), len(part.names)
-            none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(part.names.tolist(), pa.string()), pa.nulls(k, pa.string()), pa.array(totals.astype(np.int64))], names=names)
-            for n, hashes, phrases, langs in part.texts(frequent.value, longest):
-                k = len(phrases)
-                text = [pa.array(langs.tolist(), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*_keys(n, hashes), *text, pa.nulls(k, pa.int64())], names=names)
-
-    found = texts.mapInArrow(run, "hash long, tag long, lang string, phrase string, f long")
-    # Rows without hash differ by language: the sum of words is that of the language.
+            yield from getattr(part, method)(*[m.value for m in maps], longest, seen)
+
+    found = texts.mapInArrow(run, "hash long, tag int, f long, lang string, phrase string")
     keys = ["hash", "tag", F.when(F.col("hash").isNull(), F.col("lang")).alias("of")]
-    return found.groupBy(*keys).agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"), F.sum("f").alias("n")).drop("of")
+    return found.groupBy(*keys).agg(F.sum("f").alias("f"), F.min("lang").alias("lang"), F.min("phrase").alias("phrase")).drop("of")
 
 
 def _bitmap(hashes: DataFrame, onto: np.ndarray) -> np.ndarray:
@@ -238,7 +278,7 @@ def _propose(sample: DataFrame, support: int, longest: int) -> np.ndarray:
     bits = np.zeros((1 << BITS) // 8, dtype=np.uint8)
     for n in range(1, longest):
         shared = context.broadcast(bits)
-        bits = _bitmap(_counts(sample, shared, None, range(n, n + 1)).where(F.col("f") >= lowered), bits)
+        bits = _bitmap(_counts(sample, shared, range(n, n + 1)).where(F.col("f") >= lowered), bits)
         shared.destroy()
     return bits
 
@@ -251,30 +291,32 @@ def frequent_phrases(
     Rows with 0 ``words`` and an empty phrase hold the number of all words of a language. Null texts are empty, a null
     language is NO_LANG, repeated rows count each, an empty table gives no rows.
 
-    Counts go by two hashes of 125 bits together; texts are read for the sample, for the counts, for an expansion pass
-    where the sample missed something, and once more for the wording of what is frequent. All tables lie in the shared folder.
+    Counts go by 92 bits of two hashes; texts are read for the sample, for the counts, and for the expansions and the wording
+    of what a part of the sample does not word. All tables lie in the shared folder.
     """
     context = docs.sparkSession.sparkContext
     plain = [F.coalesce(named(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), text_of(text_col).alias("text")]
     texts = docs.select(*plain).where("text != ''")
-    drawn = F.pmod(F.xxhash64(*[named(c) for c in docs.columns if c != lang_col and _hashable(docs, c)]), F.lit(SHARE)) == 0
-    known = _propose(scratch_table(docs.where(drawn).select(*plain).where("text != ''"), "sample"), support, longest)
+    draw = F.pmod(F.xxhash64(*[named(c) for c in docs.columns if c != lang_col and _hashable(docs, c)]), F.lit(4 * SHARE))
+    sample = scratch_table(docs.where(draw < 4).select(*plain, draw.alias("draw")).where("text != ''"), "sample")
+    known = _propose(sample.drop("draw"), support, longest)
     first = context.broadcast(known)
-    found = scratch_table(_counts(texts, first, None, range(1, longest + 1)).where(F.col("f") >= support), "phrases")
+    found = scratch_table(_counts(texts, first, range(1, longest + 1)).where(F.col("f") >= support), "phrases")
+    frequent = context.broadcast(_bitmap(found, np.zeros_like(known)))
+    near = scratch_table(_worded(sample.where("draw = 0").drop("draw"), "wordings", [frequent], longest), "worded")
+    frequent.destroy()
+    wanted = _bitmap(found.join(near, ["hash", "tag"], "left_anti"), np.zeros_like(known))
     missed = _bitmap(found.where(F.col("tag").bitwiseAND(7) < longest), known)
-    if not np.array_equal(missed, known):
-        second = context.broadcast(missed)
-        new = _counts(texts, second, first, range(1, longest + 1)).where(F.col("f") >= support)
-        found = found.unionByName(scratch_table(new, "phrases"))
-        second.destroy()
-    first.destroy()
-    shared = context.broadcast(_bitmap(found, np.zeros_like(known)))
-    worded = scratch_table(_texts(texts, shared, longest), "worded")
-    shared.destroy()
-    phrases = worded.where("hash is not null").join(found, ["hash", "tag"])
-    words = F.col("tag").bitwiseAND(7).cast("int").alias("words")
-    totals = worded.where("hash is null").select("lang", F.lit("").alias("phrase"), F.lit(0).alias("words"), F.col("n").alias("f"))
-    return scratch_table(phrases.select("lang", "phrase", words, "f").unionByName(totals), "frequent")
+    maps = [context.broadcast(missed), first, context.broadcast(wanted)]
+    far = scratch_table(_worded(texts, "expansions", maps, longest), "expansions")
+    for shared in maps:
+        shared.destroy()
+    words = F.col("tag").bitwiseAND(7).alias("words")
+    wording = near.unionByName(far.where("hash is not null")).select("hash", "tag", "lang", "phrase")
+    phrases = found.join(wording.dropDuplicates(["hash", "tag"]), ["hash", "tag"]).select("lang", "phrase", words, "f")
+    more = far.where(F.col("hash").isNotNull() & (F.col("f") >= support)).select("lang", "phrase", words, "f")
+    totals = far.where("hash is null").select("lang", F.lit("").alias("phrase"), F.lit(0).alias("words"), "f")
+    return scratch_table(phrases.unionByName(more).unionByName(totals), "frequent")
 
 
 def _hashable(df: DataFrame, column: str) -> bool:
