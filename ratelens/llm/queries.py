@@ -9,7 +9,7 @@ import public_tokenizers
 from ratelens.llm.common import table
 from ratelens.llm.decontamination import find_contamination
 from ratelens.llm.packing import pack, with_checksum
-from ratelens.llm import chat, quality, secrets, sql, toxicity
+from ratelens.llm import chat, personal, quality, secrets, sql, toxicity
 from ratelens.llm.collocations import collocations
 from ratelens.llm.simhash import near_duplicates
 from ratelens.llm.tokens import count_tokens
@@ -96,6 +96,13 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"))
 
 
+def op13_personal(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document, and words that disclose it."""
+    found = personal.find_personal(table(spark, folder, "documents").select("doc_id", "text"), drop=("text",))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {n})) as bigint)").alias(f"n_{k}") for n, k in enumerate(personal.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(personal.listed("base"), 256).alias("base_sha256"), personal.listed("spans").alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": Query(op1_fingerprints),
     "op2_decontamination": Query(op2_decontamination),
@@ -109,4 +116,5 @@ QUERIES: dict[str, Query] = {
     "op10_quality": Query(op10_quality),
     "op11_whitening": Query(op11_whitening),
     "op12_collocations": Query(op12_collocations, sql.COLLOCATIONS),
+    "op13_personal": Query(op13_personal),
 }
