@@ -1,7 +1,7 @@
 """Scoring of load files as they arrive: the batch scoring plan on a streaming source.
 
-Row repairs, features and the model are all stateless projections, so the same functions
-apply. De-duplication is left out: it would need unbounded state.
+Every micro-batch is scored by the batch functions, since the trees meet the rows by shuffles. De-duplication
+is left out: it would need unbounded state.
 """
 
 from __future__ import annotations
@@ -21,11 +21,15 @@ def load_stream(spark: SparkSession, folder: str, schema: StructType) -> DataFra
 
 
 def score_stream(loads: DataFrame, model: PipelineModel, target: str, state: str) -> StreamingQuery:
-    """Score everything that has arrived since the last run, append it to ``target`` and stop.
+    """Score everything that has arrived since the last run, add it to ``target`` and stop.
 
-    ``state`` (on shared storage) remembers which files are done, so a lost run resumes
-    without scoring a file twice.
+    ``state`` (on shared storage) remembers which files are done, so a lost run resumes without scoring a file twice: a
+    micro-batch has a folder of its own, ``batch=<number>``, which a repetition replaces.
     """
-    scored = score_batch(loads.transform(strip_text).transform(repair_rows), model)
-    writer = scored.writeStream.format("parquet").option("checkpointLocation", state)
-    return writer.outputMode("append").trigger(availableNow=True).start(target)
+
+    def score(rows: DataFrame, number: int) -> None:
+        scored = score_batch(rows.transform(strip_text).transform(repair_rows), model)
+        scored.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    writer = loads.writeStream.foreachBatch(score).option("checkpointLocation", state)
+    return writer.trigger(availableNow=True).start()

@@ -3,12 +3,14 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ratelens.models import evaluation as ev
+from ratelens.models import tree_growth as tg
 from ratelens.models.baseline import MeanRegressor
 from ratelens.models.extra_trees import ExtraTreesRegressor
 from ratelens.models.imputers import MedianImputer, ModeImputer
@@ -89,14 +91,66 @@ def test_full_tree_reproduces_distinct_labels(table):
     assert wrong.count() == 0
 
 
-def test_scoring_by_join_equals_scoring_by_broadcast(table):
-    model = trees(maxDepth=6).fit(table)
-    by_broadcast = scores(model, table)
-    model.broadcast_nodes = 150  # several groups, still broadcast
-    model._groups = None
-    assert scores(model, table) == pytest.approx(by_broadcast)
-    model.broadcast_nodes = 5  # one tree is too large now
-    assert scores(model, table) == pytest.approx(by_broadcast)
+def test_scoring_does_not_depend_on_groups_blocks_or_levels(table):
+    whole, cut = trees().fit(table), trees(localRows=40).fit(table)
+    assert cut.packs.where("part > 0").count() > 4 and whole.packs.where("part > 0").count() == 0
+    want = scores(whole, table)
+    assert scores(cut, table) == pytest.approx(want)
+    for model in (whole, cut):
+        model.group_nodes, model.group_rows = 100, 90
+        assert scores(model, table) == pytest.approx(want)
+    assert whole.transform(table.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("local_rows", [1 << 20, 40])
+def test_members_equal_fits_of_their_own(table, local_rows):
+    forest = trees(numTrees=5, localRows=local_rows).fit(table)
+    both = forest.transform_members(table, {"few": (2, None), "low": (5, 3), "all": (5, None)})
+    got = {r["id"]: (r["few"], r["low"], r["all"]) for r in both.collect()}
+    own = [scores(trees(**p).fit(table), table) for p in ({"numTrees": 2}, {"numTrees": 5, "maxDepth": 3}, {"numTrees": 5})]
+    for i in got:
+        assert got[i] == pytest.approx(tuple(s[i] for s in own))
+
+
+def test_waiting_nodes_grow_the_same_trees(table, monkeypatch):
+    from ratelens.models import extra_trees
+
+    base = shape(trees(localRows=30).fit(table))
+    monkeypatch.setattr(extra_trees, "OPEN_NODES", 3)
+    assert shape(trees(localRows=30).fit(table)) == base
+
+
+@pytest.mark.parametrize("features", [1, 2, 3, 7, 64, 700])
+def test_random_orders_are_permutations(features):
+    keys = np.repeat(np.array([11, -5, 2**40]), features)
+    places = tg.place_of(keys, np.tile(np.arange(features), 3), features).reshape(3, features)
+    assert (np.sort(places, axis=1) == np.arange(features)).all()
+    if features > 60:
+        assert (places[0] != places[1]).mean() > 0.9
+
+
+@pytest.mark.parametrize("share", [0.01, 0.4, 1.0])
+def test_splits_choose_among_a_fixed_number_of_features(table, share):
+    """A node's split is the best valid one of the features drawn for it, by direct search."""
+    rows = table.orderBy("posted_rate").collect()
+    model = trees(numTrees=1, maxFeatures=share, minSamplesLeaf=5).fit(table)
+    top = model.nodes.where("depth = 0").first()
+    codes = {"blue": 0, "green": 1, "red": 2}
+    x = np.array([[r["x"], r["z"], r["flat"]] for r in rows]).T
+    c = np.array([[codes[r["c"]] for r in rows]])
+    y = np.array([r["posted_rate"] for r in rows])
+    seeds = tg.node_key(np.array([7], np.int64), 0)
+    key = tg.mix(seeds.view(np.uint64)).view(np.int64)
+    cuts = tg.random_cuts(key, x.min(axis=1)[:, None], x.max(axis=1)[:, None])[:, 0]
+    sides = [x[j] <= cuts[j] for j in range(3)] + [c[0] == v for v in range(3)]
+    place = tg.place_of(np.repeat(key, 6), np.arange(6), 6)
+    drawn = place < max(1, int(share * 6))
+    rank = [tg.gain_rank(np.float64(s.sum()), (y[s] - y.mean()).sum(), float(len(y)), 5) for s in sides]
+    usable = [i for i in range(6) if rank[i] >= 0 and drawn[i]]
+    best = max(usable, key=lambda i: (rank[i], -i)) if usable else min((i for i in range(6) if rank[i] >= 0), key=lambda i: place[i])
+    assert top["feature"] == min(best, 3)
+    if best < 3:
+        assert top["threshold"] == pytest.approx(cuts[best])
 
 
 def test_unseen_category_matches_no_split(spark, table):
@@ -124,8 +178,16 @@ def test_walk_forward_and_tuning_tables(spark, folder):
     report = ev.walk_forward(table, FOLDS[:2], lambda roles: MeanRegressor()).collect()
     assert [r["fold"] for r in report] == [f.name for f in FOLDS[:2]]
     assert all(r["train_end"] < r["validation_start"] for r in report)
-    results = ev.tune(table, FOLDS[:1], numTrees=1, maxDepth=3)
-    assert [r["configuration"] for r in results.collect()] == list(ev.CONFIGURATIONS)
+    small = {name: {**p, "numTrees": p["numTrees"] // 100, "maxDepth": p["maxDepth"] // 10 or 4} for name, p in ev.CONFIGURATIONS.items()}
+    small["lone"] = {"numTrees": 2, "maxFeatures": 0.8}
+    results = ev.tune(table, FOLDS[:1], small, minSamplesLeaf=2, numTrees=99, maxDepth=2).collect()
+    assert [r["configuration"] for r in results] == list(small)
+    assert len(ev._families(ev.CONFIGURATIONS, {})) == 5
+    with ev.prepared(*ev.fold_frames(ev.drop_undated(table), FOLDS[0])) as (roles, fit_rows, score_on):
+        for r in results:
+            if r["configuration"] in ("baseline", "more_trees", "depth_30"):
+                scored = ev.floor_predictions(ev.extra_trees(roles, **small[r["configuration"]]).fit(fit_rows).transform(score_on))
+                assert r["MAE"] == pytest.approx(ev.regression_metrics(scored).first()["MAE"])
 
 
 def test_final_fit_scores_new_loads_in_batch_and_as_a_stream(spark, folder):
@@ -139,7 +201,7 @@ def test_final_fit_scores_new_loads_in_batch_and_as_a_stream(spark, folder):
     for _ in range(2):  # the second run finds nothing new
         stream = scoring.load_stream(spark, inbox, new.schema)
         scoring.score_stream(stream, model, target, state).awaitTermination()
-    streamed = spark.read.parquet(target)
+    streamed = spark.read.parquet(target).drop("batch")
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch).count() == 0
 
