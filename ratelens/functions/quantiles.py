@@ -1,21 +1,15 @@
-"""Exact quantiles without ever holding a whole group in one task.
+"""Exact quantiles by repeated narrowing, without ever holding a group's values in one task.
 
-The built-in exact ``percentile`` merges a value -> count map of the complete group in one
-reducer, which stops working when a group (or the whole column) has billions of distinct
-values. Here it takes two map-side-combined passes instead:
+The built-in exact ``percentile`` merges a value -> count map of the complete group in one reducer. Here every requested rank
+lies in a bracket, at first the group's least and greatest value. A pass counts the rows of each bracket in even
+sub-ranges, with the least and greatest value of each; the sub-range that holds a rank becomes its bracket. Brackets do
+not overlap, so a row counts once, and they shrink with every pass, whatever the distribution. As soon as all of them
+hold few rows, one more pass ranks their values. Reducers get at most one row per task and sub-range, and no window
+sees more than the sub-ranges or the few values of a bracket.
 
-1. a bounded quantile sketch per group brackets every requested rank between two data values;
-2. rows outside all brackets collapse to a few counting cells before the shuffle, and only
-   the values inside the brackets (at most about ``6 * n / accuracy`` per probability, and
-   each distinct value once) are ranked.
+Without ``exact`` two-level merged KLL sketches answer: a sketch per group and block of map tasks, then one per group.
 
-The result is exact: the second pass counts every row, and a rank that escaped its bracket
-raises instead of returning a neighbouring value.
-
-Without groups the brackets reach the second pass as a scalar subquery. With groups the
-first pass runs when called and its one row per group is checkpointed: the table is then
-not scanned again for the other aggregates, and the counted size decides between a
-broadcast and a skew-aware shuffle join.
+Each pass reads the input again. Callers whose input is more than a scan pass it through ``hand_over`` first.
 """
 
 from __future__ import annotations
@@ -26,15 +20,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens.session import ensure_checkpoint_folder
+from ratelens.sources.files import scratch_path
 
-# Sketch sizes grow with the accuracy, once per group and task; few groups can afford more.
-GROUP_ACCURACY = 10_000
-COLUMN_ACCURACY = 100_000
-
-# Rows of a few hundred bytes: about 30 MB at most.
+#: Sub-ranges of a bracket, and rows of a bracket whose values are ranked at last.
+CELLS, FEW = 4096, 10_000
+#: Sketches answer within n / ACCURACY ranks; blocks of map tasks whose sketches are merged first.
+ACCURACY, BLOCKS = 10_000, 64
+#: Rows of a few hundred bytes: about 30 MB at most.
 BROADCAST_GROUPS = 100_000
 
-_EDGES, _N, _CELL, _VALUE = "__edges", "__n", "__cell", "__value"
+_VALUE, _ALL = "__value", "__all"
+
+
+def hand_over(df: DataFrame) -> DataFrame:
+    """Write a column-pruned table to the shared folder once, for several passes to read."""
+    path = scratch_path(df.sparkSession, "hand-over")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def group_table(per_group: DataFrame) -> DataFrame:
+    """Checkpoint a table with one row per group and broadcast it if it is small enough.
+
+    Spark cannot know the size of an aggregate beforehand and would shuffle the large side of a join before finding out.
+    """
+    ensure_checkpoint_folder(per_group.sparkSession)
+    table = per_group.checkpoint()
+    return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
 
 
 def quantiles(
@@ -49,108 +61,110 @@ def quantiles(
 ) -> DataFrame:
     """One row per group: ``by`` columns, ``aggregates``, then one column per probability.
 
-    Linear interpolation between neighbouring order statistics; NULL values are ignored;
-    rows with a NULL group key are left out. ``aggregates`` ride along in the sketch pass.
-    ``exact=False`` stops after the sketch (rank error at most ``n / accuracy``).
+    Linear interpolation between neighbouring order statistics; NULL values are ignored; rows with a NULL group key are left
+    out. ``aggregates`` ride along in the first pass. ``exact=False`` stops after the sketches (rank error about
+    ``n / accuracy``). With ``exact``, ``accuracy`` sets the sub-ranges of a bracket and the rows that are few.
     ``few_groups=True`` (groups are columns, not data) affords a finer sketch.
     """
     by = list(by)
-    accuracy = accuracy or (COLUMN_ACCURACY if few_groups or not by else GROUP_ACCURACY)
     names = sorted(probabilities, key=probabilities.get)
     probs = [float(probabilities[n]) for n in names]
     rows = df.withColumn(_VALUE, (F.col(value) if isinstance(value, str) else value).cast("double"))
     for key in by:
         rows = rows.where(F.col(key).isNotNull())
-
     if not exact:
-        sketch = F.percentile_approx(_VALUE, probs, accuracy)
-        out = _grouped(rows, by, [*aggregates, sketch.alias(_EDGES)])
-        picked = [F.col(_EDGES)[i].alias(n) for i, n in enumerate(names)]
-        return out.select("*", *picked).drop(_EDGES)
-
-    margin = 3.0 / accuracy
-    lows = [max(p - margin, 0.0) for p in probs]
-    highs = [min(p + margin, 1.0) for p in probs]
-    sketch = F.percentile_approx(_VALUE, lows + highs, accuracy)
-    first = _grouped(rows, by, [*aggregates, sketch.alias(_EDGES)])
-    if by or aggregates:
-        first = group_table(first)
-    ranked = _ranked_cells(rows, first.select(*by, _EDGES), by, len(probs))
-    found = _pick(ranked, by, names, probs)
-    if by:
-        return first.drop(_EDGES).join(found, by, "left")
-    if not aggregates:
-        return found
-    picked = found.select(F.struct(*names).alias("q")).scalar()
-    return first.drop(_EDGES).withColumn("__q", picked).select("*", "__q.*").drop("__q")
-
-
-def group_table(per_group: DataFrame) -> DataFrame:
-    """Checkpoint a table with one row per group and broadcast it if it is small enough.
-
-    Spark cannot know the size of an aggregate beforehand and would shuffle the large side
-    of a join before finding out.
-    """
-    ensure_checkpoint_folder(per_group.sparkSession)
-    table = per_group.checkpoint()
-    return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
-
-
-def _grouped(rows: DataFrame, by: list[str], aggregates: list[Column]) -> DataFrame:
-    return rows.groupBy(*by).agg(*aggregates) if by else rows.agg(*aggregates)
-
-
-def _ranked_cells(rows: DataFrame, edges: DataFrame, by: list[str], q: int) -> DataFrame:
-    """Collapse rows to counting cells and give each cell its cumulative count."""
-    rows = rows.where(F.col(_VALUE).isNotNull()).select(*by, _VALUE)
-    if by:
-        rows = rows.join(edges, by)
-    else:
-        rows = rows.withColumn(_EDGES, edges.select(_EDGES).scalar())
-    v, e = F.col(_VALUE), F.col(_EDGES)
-    cell = F.lit(None).cast("int")
-    for i in reversed(range(q)):
-        cell = (
-            F.when(v < e[i], F.lit(2 * i))
-            .when(v <= e[q + i], F.lit(2 * i + 1))
-            .otherwise(F.lit(2 * q) if i == q - 1 else cell)
-        )
-    rows = rows.withColumn(_CELL, cell)
-    cells = rows.groupBy(*by, _CELL, F.when(F.col(_CELL) % 2 == 1, v).alias("__exact")).agg(
-        F.count(F.lit(1)).alias("__c"), F.min(v).alias("__min"), F.max(v).alias("__max")
+        return _approximate(rows, by, aggregates, names, probs, accuracy or ACCURACY * (10 if few_groups or not by else 1))
+
+    cells, few = (max(2, accuracy), accuracy) if accuracy else (CELLS, FEW)
+    keys = by or [_ALL]
+    rows = rows if by else rows.withColumn(_ALL, F.lit(0))
+    present = F.col(_VALUE)
+    facts = [F.count(present).alias("__n"), F.min(present).alias("__lo"), F.max(present).alias("__hi")]
+    # Without groups there is a row even if there are no rows.
+    first = rows.groupBy(*by).agg(*aggregates, *facts) if by else rows.agg(*aggregates, *facts).withColumn(_ALL, F.lit(0))
+    ensure_checkpoint_folder(df.sparkSession)
+    first = first.checkpoint()
+    values = rows.where(present.isNotNull()).select(*keys, _VALUE)
+    found = _order_statistics(values, first, keys, probs, cells, few)
+    at = F.map_from_entries("__found")
+    picked = []
+    for name, p in zip(names, probs, strict=True):
+        position = (F.col("__n") - 1) * F.lit(p)
+        low, high = F.floor(position) + 1, F.ceil(position) + 1
+        v = F.element_at(at, low)
+        picked.append((v + (F.element_at(at, high) - v) * (position - F.floor(position))).alias(name))
+    out = first.join(group_table(found), keys, "left")
+    kept = [c for c in first.columns if c not in ("__n", "__lo", "__hi", _ALL)]
+    return out.select(*kept, *picked)
+
+
+def _order_statistics(values: DataFrame, first: DataFrame, keys: list[str], probs: list[float], cells: int, few: int) -> DataFrame:
+    """Per group ``__found``: (rank, value) of every rank that the probabilities need."""
+    positions = [(F.col("__n") - 1) * F.lit(p) for p in probs]
+    ranks = F.array_sort(F.array_distinct(F.array(*[f(x) + 1 for x in positions for f in (F.floor, F.ceil)])))
+    brackets = first.where("__n > 0").select(
+        *keys, F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), F.lit(0).cast("long").alias("skip"), F.col("__n").alias("inside"), ranks.alias("ranks")
     )
-    group = Window.partitionBy(*by)
-    running = group.orderBy(_CELL, "__exact").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cells.withColumn("__upto", F.sum("__c").over(running)).withColumn(
-        _N, F.sum("__c").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    )
-
-
-def _pick(ranked: DataFrame, by: list[str], names: list[str], probs: list[float]) -> DataFrame:
-    """Order statistics around each rank, interpolated."""
-    before = F.col("__upto") - F.col("__c")
-
-    def at(rank: Column) -> Column:
-        inside = (before < rank) & (rank <= F.col("__upto"))
-        value = (
-            F.when(F.col("__exact").isNotNull(), F.col("__exact"))
-            .when(rank == before + 1, F.col("__min"))
-            .when(rank == F.col("__upto"), F.col("__max"))
-            .otherwise(F.raise_error(F.lit("quantile rank left its bracket; raise accuracy")).cast("double"))
-        )
-        return F.max(F.when(inside, value))
-
-    picks = []
-    for i, p in enumerate(probs):
-        position = (F.col(_N) - 1) * F.lit(p)
-        picks += [
-            at(F.floor(position) + 1).alias(f"__lo{i}"),
-            at(F.ceil(position) + 1).alias(f"__hi{i}"),
-            F.max(position - F.floor(position)).alias(f"__t{i}"),
-        ]
-    out = _grouped(ranked, by, picks)
-    values = [
-        (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__t{i}")).alias(n)
-        for i, n in enumerate(names)
-    ]
-    return out.select(*by, *values)
+    brackets = brackets.checkpoint()
+    done = brackets.where("lo = hi")
+    while True:
+        open_ = brackets.where("lo < hi")
+        most = open_.agg(F.max("inside")).first()[0]
+        if most is None:
+            break
+        if most <= few:
+            done = done.unionByName(_ranked(values, open_, keys))
+            break
+        brackets = _narrowed(values, open_, keys, cells).checkpoint()
+        done = done.unionByName(brackets.where("lo = hi"))
+    each = done.select(*keys, F.explode("ranks").alias("r"), "lo")
+    return each.groupBy(*keys).agg(F.collect_list(F.struct("r", "lo")).alias("__found"))
+
+
+def _inside(values: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the bracket ``b`` they lie in; brackets of a group do not overlap."""
+    parts = brackets.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "skip", "ranks")).alias("__brackets"))
+    joined = values.join(group_table(parts), keys)
+    mine = F.filter("__brackets", lambda b: (b["lo"] <= F.col(_VALUE)) & (F.col(_VALUE) <= b["hi"]))
+    return joined.select(*keys, _VALUE, F.get(mine, F.lit(0)).alias("b")).where("b is not null")
+
+
+def _hit(counted: DataFrame, keys: list[str], order: str, extra: list[Column]) -> DataFrame:
+    """Counted sub-ranges or values that hold a rank, with what lies before them."""
+    running = Window.partitionBy(*keys, "b.lo").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("upto", F.sum("inside").over(running) + F.col("b.skip"))
+    before = F.col("upto") - F.col("inside")
+    ranks = F.filter("b.ranks", lambda r: (before < r) & (r <= F.col("upto")))
+    return placed.select(*keys, *extra, before.alias("skip"), "inside", ranks.alias("ranks")).where(F.size("ranks") > 0)
+
+
+def _narrowed(values: DataFrame, brackets: DataFrame, keys: list[str], cells: int) -> DataFrame:
+    """The sub-ranges that hold ranks, as new brackets."""
+    inside = _inside(values, brackets, keys)
+    # Halved, no difference overflows; every step is monotonic, so sub-ranges keep the order of the values.
+    v, lo, hi = F.col(_VALUE) * 0.5, F.col("b.lo") * 0.5, F.col("b.hi") * 0.5
+    cell = F.least(F.lit(cells - 1), F.floor((v - lo) / (hi - lo) * cells)).cast("int")
+    cell = F.when(F.col(_VALUE) == F.col("b.hi"), cells - 1).otherwise(cell)
+    counted = inside.groupBy(*keys, "b", cell.alias("cell")).agg(F.count(F.lit(1)).alias("inside"), F.min(_VALUE).alias("lo"), F.max(_VALUE).alias("hi"))
+    return _hit(counted, keys, "cell", [F.col("lo"), F.col("hi")])
+
+
+def _ranked(values: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """The values that hold ranks, of brackets with few rows."""
+    counted = _inside(values, brackets, keys).groupBy(*keys, "b", _VALUE).agg(F.count(F.lit(1)).alias("inside"))
+    return _hit(counted, keys, _VALUE, [F.col(_VALUE).alias("lo"), F.col(_VALUE).alias("hi")])
+
+
+def _approximate(rows: DataFrame, by: list[str], aggregates: Sequence[Column], names: list[str], probs: list[float], accuracy: int) -> DataFrame:
+    """Quantiles from sketches that are merged twice, so that no task gets one of every map task."""
+    size = F.lit(min(65_535, max(64, 6 * accuracy)))
+    keys = by or [_ALL]
+    keyed = rows if by else rows.withColumn(_ALL, F.lit(0))
+    block = F.pmod(F.spark_partition_id(), F.lit(BLOCKS)).alias("__block")
+    sketches = keyed.where(F.col(_VALUE).isNotNull()).groupBy(*keys, block).agg(F.kll_sketch_agg_double(_VALUE, size).alias("__sketch"))
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("__sketch", size).alias("__sketch"))
+    picked = [F.kll_sketch_get_quantile_double("__sketch", F.lit(p)).alias(n) for n, p in zip(names, probs, strict=True)]
+    facts = [*aggregates, F.count(_VALUE).alias("__n")]
+    first = rows.groupBy(*by).agg(*facts) if by else rows.agg(*facts).withColumn(_ALL, F.lit(0))
+    out = first.join(merged.select(*keys, *picked), keys, "left")
+    return out.drop("__n", *([] if by else [_ALL]))

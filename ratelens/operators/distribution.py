@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.functions.columns import equal_width_bin, finite
-from ratelens.functions.quantiles import group_table, quantiles
+from ratelens.functions.quantiles import group_table, hand_over, quantiles
 
 # Quartiles, the extended quantile list and the whisker reach.
 QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
@@ -36,7 +36,7 @@ def describe(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataF
     """One row per column: count, mean, std, min, quartiles, max of the non-null values."""
     value = F.col("value")
     return quantiles(
-        numeric_long(df, columns),
+        numeric_long(hand_over(df.select(*columns)), columns),
         "value",
         QUARTILES,
         by=["column"],
@@ -57,7 +57,7 @@ def column_quantiles(
 ) -> DataFrame:
     """``quantile, value`` rows of one column, linear interpolation."""
     names = list(probabilities)
-    wide = quantiles(df, finite(F.col(column)), probabilities, exact=exact)
+    wide = quantiles(hand_over(df.select(column)), finite(F.col(column)), probabilities, exact=exact)
     return wide.unpivot([], names, "quantile", "value")
 
 
@@ -169,7 +169,7 @@ def box_stats(df: DataFrame, value: str, by: str | None = None, exact: bool = Tr
     One row, or one row per non-null ``by`` value. Outliers are strictly beyond the fences.
     """
     keys = [by] if by else []
-    rows = df.select(*keys, finite(F.col(value).cast("double")).alias("v"))
+    rows = hand_over(df.select(*keys, finite(F.col(value).cast("double")).alias("v")))
     box = quantiles(rows, "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=keys, exact=exact)
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     fences = box.withColumns({"low_fence": F.col("q1") - reach, "high_fence": F.col("q3") + reach})
@@ -279,7 +279,7 @@ def target_correlations(df: DataFrame, columns: Sequence[str], target: str, incl
 
 def outlier_summary(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """Per column: quartiles, IQR, fences, count strictly outside and its share in percent."""
-    long = numeric_long(df, columns)
+    long = numeric_long(hand_over(df.select(*columns)), columns)
     box = quantiles(long, "value", {"q1": 0.25, "q3": 0.75}, by=["column"], exact=exact, few_groups=True)
     iqr = F.col("q3") - F.col("q1")
     fences = box.select(
@@ -296,6 +296,6 @@ def outlier_summary(df: DataFrame, columns: Sequence[str], exact: bool = True) -
 
 def above_upper_fence(df: DataFrame, column: str) -> DataFrame:
     """Rows whose value is above Q3 + 1.5 IQR of the whole table."""
-    box = quantiles(df, finite(F.col(column)), {"q1": 0.25, "q3": 0.75})
+    box = quantiles(hand_over(df.select(column)), finite(F.col(column)), {"q1": 0.25, "q3": 0.75})
     upper = box.select((F.col("q3") + WHISKER * (F.col("q3") - F.col("q1"))).alias("upper")).scalar()
     return df.where(F.col(column) > upper)

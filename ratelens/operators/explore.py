@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.functions.columns import route_label, safe_ratio
-from ratelens.functions.quantiles import group_table, quantiles
+from ratelens.functions.quantiles import group_table, hand_over, quantiles
 from ratelens.sources.schemas import KEY, TARGET
 
 # Weekday order and the columns of the highest-rate report.
@@ -34,7 +34,7 @@ def group_profile(df: DataFrame, key: str, target: str = TARGET, exact: bool = T
     """Target count, mean, median and std per non-null ``key``, highest mean first."""
     t = F.col(target)
     out = quantiles(
-        df.select(key, target),
+        hand_over(df.select(key, target)),
         target,
         {"median": 0.5},
         by=[key],
@@ -105,7 +105,7 @@ def route_profile(df: DataFrame, target: str = TARGET, exact: bool = True) -> Da
     """Target count, mean and median of every route, busiest first."""
     t = F.col(target)
     out = quantiles(
-        with_route(df).select("route", target),
+        hand_over(with_route(df).select("route", target)),
         target,
         {"median_rate": 0.5},
         by=["route"],
@@ -120,7 +120,7 @@ def top_routes(df: DataFrame, top: int = 20, target: str = TARGET) -> DataFrame:
 
     Counts decide the ``top`` routes first; only their rows go through the median passes.
     """
-    routed = with_route(df).select("route", target)
+    routed = hand_over(with_route(df).select("route", target))
     busiest = (
         routed.groupBy("route")
         .agg(F.count(target).alias("load_count"), F.avg(target).alias("mean_rate"))

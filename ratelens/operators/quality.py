@@ -200,11 +200,11 @@ def numeric_summary(df: DataFrame) -> DataFrame:
 
 def target_summary(df: DataFrame, target: str = TARGET) -> DataFrame:
     """Missing, min, max, mean, exact median and negative count of the target."""
-    from ratelens.functions.quantiles import quantiles
+    from ratelens.functions.quantiles import hand_over, quantiles
 
     t = F.col(target)
     return quantiles(
-        df,
+        hand_over(df.select(target)),
         target,
         {"median": 0.5},
         aggregates=[

@@ -1,4 +1,4 @@
-"""Exact quantiles against numpy, including brackets narrower than the data."""
+"""Exact quantiles against numpy, including many narrowing passes."""
 
 import numpy as np
 import pytest
@@ -65,11 +65,24 @@ def test_empty_column_is_missing(spark):
     assert quantiles(df, "v", {"m": 0.5}).first()["m"] is None
 
 
-def test_only_bracketed_values_reach_the_ranking(spark):
-    """Rows outside the brackets are collapsed before the shuffle."""
+def test_extreme_values_and_infinitesimal_steps(spark):
+    data = [-1.7e308, 1.7e308, 0.0, 5e-324, 1e-323, 1.0, 1.0 + 2**-52, 1.0, -1e300] * 7
+    df = spark.createDataFrame([(v,) for v in data], "v double")
+    row = quantiles(df, "v", {"a": 0.0, "b": 0.5, "c": 1.0}, accuracy=3).first()
+    assert (row["a"], row["b"], row["c"]) == (min(data), float(np.quantile(data, 0.5)), max(data))
+
+
+def test_windows_see_sub_ranges_or_few_values(spark):
+    """No exchange gathers values in one partition: a narrowing pass ends in one row per task and sub-range."""
     from ratelens.functions import quantiles as module
 
-    df = spark.range(100_000).select(F.col("id").cast("double").alias("__value"))
-    edges = df.agg(F.percentile_approx("__value", [0.49, 0.51], 1000).alias("__edges"))
-    cells = module._ranked_cells(df, edges, [], 1)
-    assert cells.count() < 3_000 and cells.agg(F.max("__upto")).first()[0] == 100_000
+    df = spark.range(100_000).select(F.col("id").cast("double").alias("__value"), F.lit(0).alias("__all"))
+    ranks = F.array(F.lit(50_000).cast("long"), F.lit(50_001).cast("long"))
+    start = df.groupBy("__all").agg(F.min("__value").alias("lo"), F.max("__value").alias("hi"), F.count("__value").alias("inside"))
+    spark.sparkContext.getCheckpointDir()
+    brackets = start.select("*", F.lit(0).cast("long").alias("skip"), ranks.alias("ranks"))
+    cut = module._narrowed(df, brackets, ["__all"], 100).collect()
+    assert sum(r["inside"] for r in cut) <= 2_000
+    for r in cut:
+        assert all(r["skip"] < k <= r["skip"] + r["inside"] for k in r["ranks"])
+    assert sorted(k for r in cut for k in r["ranks"]) == [50_000, 50_001]
