@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratelens.errors import ContractError
+from ratelens.functions.dictionary import sorted_ranks, widths, with_ranks
 from ratelens.models.imputers import MedianImputer, ModeImputer
 from ratelens.operators.quality import guard_features
 from ratelens.sources.schemas import KEY, TARGET, numeric_columns, text_columns
@@ -65,6 +78,91 @@ def encoding_stages(roles: Roles, output: str = "features") -> list:
     ]
 
 
+class _SparseParams(Params):
+    numericCols = Param(Params._dummy(), "numericCols", "numeric inputs", TypeConverters.toListString)
+    categoricalCols = Param(Params._dummy(), "categoricalCols", "text inputs", TypeConverters.toListString)
+    outputCol = Param(Params._dummy(), "outputCol", "sparse row", TypeConverters.toString)
+
+
+class SparseAssembler(Estimator, _SparseParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Numbers and sorted one-hot categories as one sparse row: ``size, indices, values``.
+
+    The dictionary of the categories is a table: it is made, kept and joined on the cluster, so a column may have any number
+    of categories. A value unseen at fit time, or missing, sets no indicator.
+    """
+
+    @keyword_only
+    def __init__(self, *, numericCols=None, categoricalCols=None, outputCol="features"):
+        super().__init__()
+        self._setDefault(outputCol="features")
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, dataset: DataFrame) -> SparseAssemblerModel:
+        texts = self.getOrDefault(self.categoricalCols)
+        ranks = sorted_ranks(dataset, texts)
+        sizes = widths(ranks, texts)
+        model = SparseAssemblerModel(ranks)
+        model._set(
+            numericCols=self.getOrDefault(self.numericCols), categoricalCols=texts, outputCol=self.getOrDefault(self.outputCol),
+            widths=[sizes[c] for c in texts],
+        )
+        return model
+
+
+class SparseAssemblerModel(Model, _SparseParams, MLReadable, MLWritable):
+    """Fitted dictionary: ``ranks`` is a DataFrame ``column, value, rank``."""
+
+    widths = Param(Params._dummy(), "widths", "categories per text input", TypeConverters.toListInt)
+
+    def __init__(self, ranks: DataFrame | None = None):
+        super().__init__()
+        self._setDefault(outputCol="features")
+        self.ranks = ranks
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        numeric, texts, sizes = (self.getOrDefault(p) for p in (self.numericCols, self.categoricalCols, self.widths))
+        names = {c: f"__rank{i}" for i, c in enumerate(texts)}
+        rows = with_ranks(dataset, self.ranks, names, dict.fromkeys(texts, -1))
+        first, hits = len(numeric), []
+        for name, size in zip(names.values(), sizes, strict=True):
+            hits.append(F.when(F.col(name) >= 0, F.col(name) + first))
+            first += size
+        ones = F.filter(F.array(*hits).cast("array<bigint>"), lambda i: i.isNotNull())
+        numbers = F.array(*[F.col(f"`{c}`").cast("double") for c in numeric]).cast("array<double>")
+        places = F.array(*[F.lit(i) for i in range(len(numeric))]).cast("array<bigint>")
+        row = F.struct(
+            F.lit(first).cast("bigint").alias("size"), F.concat(places, ones).alias("indices"),
+            F.concat(numbers, F.transform(ones, lambda _: F.lit(1.0))).alias("values"),
+        )
+        return rows.withColumn(self.getOrDefault(self.outputCol), row).drop(*names.values())
+
+    def write(self) -> MLWriter:
+        return _SparseWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _SparseReader()
+
+
+class _SparseWriter(MLWriter):
+    def __init__(self, model: SparseAssemblerModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.ranks.write.parquet(f"{path}/ranks")
+
+
+class _SparseReader(MLReader):
+    def load(self, path: str) -> SparseAssemblerModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = SparseAssemblerModel(self.sparkSession.read.parquet(f"{path}/ranks"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
 def check_category_widths(df: DataFrame, roles: Roles, limit: int = 1_000_000) -> None:
     """Raise when a one-hot dictionary would not fit the driver.
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ratelens.functions.quantiles import hand_over
 from ratelens.models.baseline import MeanRegressor
 from ratelens.models.evaluation import (
     compare_models,
@@ -19,8 +19,8 @@ from ratelens.models.evaluation import (
 )
 from ratelens.models.imputers import column_medians, column_modes
 from ratelens.models.preparation import (
+    SparseAssembler,
     column_roles,
-    encoding_stages,
     imputation_stages,
     labelled,
     model_inputs,
@@ -146,38 +146,40 @@ _IMPUTED_SQL = over(
 )
 
 
-def _one_hot_hits(spark, folder):
-    """One-hot indices set on validation rows: fitted on training rows, unseen values set none."""
+def _sparse_rows(spark, folder):
+    """Validation rows, imputed and encoded with what the training rows gave."""
     train, valid = _split(spark, folder)
+    roles = column_roles(train.schema)
+    stages = [*imputation_stages(roles), SparseAssembler(numericCols=roles.numeric, categoricalCols=roles.categorical)]
+    return roles, Pipeline(stages=stages).fit(train).transform(valid)
+
+
+def _between(indices: str, first: int, end: int):
+    return F.filter(indices, lambda i: (i >= first) & (i < end))
+
+
+def _one_hot_hits(spark, folder):
+    """One-hot indices set on imputed validation rows: fitted on training rows, unseen values set none."""
     names = ["pickup", "delivery", "equipment", "distance_bucket", "weight_bucket", "route"]
-    stages = encoding_stages(column_roles(train.select(*names).schema))[:-1]
-    fitted = Pipeline(stages=stages).fit(train.dropna(subset=names))
-    encoded = fitted.transform(valid.dropna(subset=names))
-    hits = [
-        F.struct(
-            F.lit(c).alias("column"),
-            (F.array_position(vector_to_array(f"{c}__onehot"), 1.0) - 1).alias("index"),
-        )
-        for c in names
-    ]
-    return (
-        encoded.select(F.inline(F.array(*hits)))
-        .groupBy("column", "index")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    train, valid = sp.holdout(hand_over(sp.drop_undated(features(spark, folder)).select("date", *names)), CUT)
+    roles = column_roles(train.select(*names).schema)
+    fitted = Pipeline(stages=[*imputation_stages(roles), SparseAssembler(numericCols=[], categoricalCols=names)]).fit(train)
+    hits, first = [], 0
+    for c, size in zip(names, fitted.stages[-1].getOrDefault("widths"), strict=True):
+        hits.append((c, _between("features.indices", first, first + size), first))
+        first += size
+    each = [F.struct(F.lit(c).alias("column"), F.coalesce(F.get(own, F.lit(0)) - at, F.lit(-1)).alias("index")) for c, own, at in hits]
+    return fitted.transform(valid).select(F.inline(F.array(*each))).groupBy("column", "index").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _one_hot_sql() -> str:
     names = ["pickup", "delivery", "equipment", "distance_bucket", "weight_bucket", "route"]
-    full = " AND ".join(f"{c} IS NOT NULL" for c in names)
     rows = [
         f"""SELECT '{c}' AS "column", coalesce(t.i, -1) AS "index", count(*) AS rows
-        FROM features v LEFT JOIN (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS i
-          FROM (SELECT DISTINCT {c} FROM features WHERE {_TRAIN} AND {full}) d) t ON t.{c} = v.{c}
-        WHERE {_VALID.replace('date', 'v.date', 1)} AND {full.replace('pickup IS', 'v.pickup IS')
-            .replace('delivery IS', 'v.delivery IS').replace('equipment IS', 'v.equipment IS')
-            .replace('distance_bucket IS', 'v.distance_bucket IS')
-            .replace('weight_bucket IS', 'v.weight_bucket IS').replace('route IS', 'v.route IS')}
+        FROM (SELECT coalesce({c}, (SELECT {c} FROM features WHERE {_TRAIN} AND {c} IS NOT NULL
+            GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS filled FROM features WHERE {_VALID}) v
+        LEFT JOIN (SELECT {c} AS known, row_number() OVER (ORDER BY {c}) - 1 AS i
+          FROM (SELECT DISTINCT {c} FROM features WHERE {_TRAIN} AND {c} IS NOT NULL) d) t ON t.known = v.filled
         GROUP BY 1, 2"""
         for c in names
     ]
@@ -185,18 +187,11 @@ def _one_hot_sql() -> str:
 
 
 def _assembled(spark, folder):
-    """Width and filled entries of the sparse model vector."""
-    train, valid = _split(spark, folder)
-    roles = column_roles(train.schema)
-    model = Pipeline(stages=imputation_stages(roles) + encoding_stages(roles)).fit(train)
-    values = vector_to_array("features")
-    # The first len(numeric) entries are numbers, the rest are indicators.
-    first = len(roles.numeric) + 1
-    indicators = F.slice(values, first, F.size(values) - len(roles.numeric))
-    ones = F.aggregate(indicators, F.lit(0.0), lambda a, b: a + b)
-    return model.transform(valid).select(
-        "load_id", F.size(values).alias("width"), ones.cast("int").alias("categories")
-    )
+    """Width and filled indicators of the sparse model row."""
+    roles, rows = _sparse_rows(spark, folder)
+    numbers = len(roles.numeric)
+    indicators = F.size(F.filter("features.indices", lambda i: i >= numbers))
+    return rows.select("load_id", F.col("features.size").cast("int").alias("width"), indicators.alias("categories"))
 
 
 def _assembled_sql() -> str:

@@ -14,7 +14,7 @@ from ratelens.models import tree_growth as tg
 from ratelens.models.baseline import MeanRegressor
 from ratelens.models.extra_trees import ExtraTreesRegressor
 from ratelens.models.imputers import MedianImputer, ModeImputer
-from ratelens.models.preparation import Roles, column_roles, encoding_stages, rate_model
+from ratelens.models.preparation import Roles, SparseAssembler, SparseAssemblerModel, column_roles, encoding_stages, rate_model
 from ratelens.operators.splits import holdout
 from ratelens.plans.common import CUT, FOLDS, clean, features
 from ratelens.sources.files import scratch_path
@@ -63,6 +63,22 @@ def test_one_hot_width_is_constant_and_unseen_values_are_all_zero(spark):
     assert got == [[9.0, 1.0, 0.0, 0.0], [8.0, 0.0, 0.0, 0.0]]
 
 
+def test_sparse_rows_hold_sorted_categories_and_survive_saving(spark):
+    train = spark.createDataFrame([(i, f"k{i % 700:03d}", "x" if i % 2 else None) for i in range(2000)], "v int, t string, u string").repartition(7)
+    model = SparseAssembler(numericCols=["v"], categoricalCols=["t", "u"]).fit(train)
+    path = scratch_path(spark, "sparse")
+    model.write().save(path)
+    new = spark.createDataFrame([(5, "k699", "x"), (6, "new", None), (7, "k000", "y"), (8, None, "x")], "v int, t string, u string")
+    for m in (model, SparseAssemblerModel.load(path)):
+        got = {r["v"]: r["features"] for r in m.transform(new).collect()}
+        assert m.transform(new).columns == ["v", "t", "u", "features"]
+        assert [tuple(got[v]) for v in (5, 6, 7, 8)] == [
+            (702, [0, 700, 701], [5.0, 1.0, 1.0]), (702, [0], [6.0]), (702, [0, 1], [7.0, 1.0]), (702, [0, 701], [8.0, 1.0])
+        ]
+    empty = SparseAssembler(numericCols=["v"], categoricalCols=["t"]).fit(train.where("false"))
+    assert [tuple(r["features"]) for r in empty.transform(new.limit(1)).collect()] == [(1, [0], [5.0])]
+
+
 def test_roles_follow_types(spark, folder):
     roles = column_roles(features(spark, folder).schema)
     assert len(roles.numeric) == 31
