@@ -64,8 +64,9 @@ def _finish(rules: DataFrame, messages: dict[str, str]) -> DataFrame:
     order = [(i, name, text) for i, (name, text) in enumerate(messages.items(), 1)]
     known = rules.sparkSession.createDataFrame(order, "position int, rule string, message string")
     return (
-        known.join(rules, "rule")
-        .select("position", "rule", "violations", (F.col("violations") == 0).alias("passed"), "message")
+        known.join(rules, "rule", "left")
+        # A rule without a count is not passed: it was not looked at.
+        .select("position", "rule", "violations", F.coalesce(F.col("violations") == 0, F.lit(False)).alias("passed"), "message")
         .orderBy("position")
     )
 

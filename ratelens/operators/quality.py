@@ -45,9 +45,9 @@ def shape_report(df: DataFrame) -> DataFrame:
     )
 
 
-def head(df: DataFrame, rows: int = 5) -> DataFrame:
-    """First rows as the scan returns them."""
-    return df.limit(rows)
+def head(df: DataFrame, rows: int = 5, order_by: Sequence[str] = ()) -> DataFrame:
+    """First rows as the scan returns them, or in a given order."""
+    return (df.orderBy(*order_by) if order_by else df).limit(rows)
 
 
 def quality_report(df: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ from ratelens.sources.shipments import loads
 CUT = date(2001, 10, 1)
 FOLDS = monthly_folds(date(2001, 7, 1), 4)
 
+# The published forest; depth 0 is unbounded.
+PUBLISHED = {"numTrees": 300, "maxFeatures": 0.8, "minSamplesLeaf": 2, "maxDepth": 0}
+
 NUMERIC_INPUTS = ["distance", "weight", "market_index", "quote_signal"]
 
 

@@ -18,6 +18,11 @@ _NUMERIC = [
 ]
 
 
+def _raised(df):
+    """Loads without equipment at twenty times their rate."""
+    return df.withColumn("posted_rate", F.when(F.col("equipment").isNull(), F.col("posted_rate") * 20).otherwise(F.col("posted_rate")))
+
+
 def _histogram_sql(columns: dict[str, str], bins: int) -> str:
     rows = [
         f"""SELECT '{name}' AS "column", cast(b.bin AS BIGINT) AS bin,
@@ -278,6 +283,15 @@ QUERIES = {
         lambda s, d: rounded(dist.outlier_summary(clean(s, d), [*NUMERIC_INPUTS, "posted_rate"]), 8),
         _outlier_sql(),
     ),
+    "ex26_planted_outliers": Query(
+        lambda s, d: rounded(dist.above_upper_fence(_raised(clean(s, d)), "posted_rate").select("load_id", "posted_rate"), 6),
+        over(
+            "clean",
+            """SELECT load_id, round(y, 6) AS posted_rate FROM planted WHERE y >
+            (SELECT quantile_cont(y, 0.75) + 1.5 * (quantile_cont(y, 0.75) - quantile_cont(y, 0.25)) FROM planted)""",
+            ("planted", "SELECT load_id, CASE WHEN equipment IS NULL THEN posted_rate * 20 ELSE posted_rate END AS y FROM clean"),
+        ),
+    ),
     "ex26_above_upper_fence": Query(
         lambda s, d: rounded(dist.above_upper_fence(clean(s, d), "posted_rate").select("load_id", "posted_rate"), 6),
         over(

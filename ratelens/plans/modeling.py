@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ratelens.functions.quantiles import hand_over
 from ratelens.models.baseline import MeanRegressor
 from ratelens.models.evaluation import (
+    cached,
     compare_models,
     default_models,
     extra_trees,
@@ -16,6 +17,7 @@ from ratelens.models.evaluation import (
     prepared,
     score_batch,
     tune,
+    walk_forward,
 )
 from ratelens.models.imputers import column_medians, column_modes
 from ratelens.models.preparation import (
@@ -28,7 +30,7 @@ from ratelens.models.preparation import (
 )
 from ratelens.operators import metrics as m
 from ratelens.operators import splits as sp
-from ratelens.plans.common import CUT, FOLDS, Query, clean, features, rounded
+from ratelens.plans.common import CUT, FOLDS, PUBLISHED, Query, clean, features, rounded, rounded_mean, rounded_mean_sql
 from ratelens.plans.sql import over, union
 from ratelens.sources.files import scratch_path
 from ratelens.sources.schemas import PREDICTION, TARGET
@@ -283,28 +285,63 @@ _SUMMARY_SQL = """round(avg(MAE), 6) AS mean_MAE, round(avg(RMSE), 6) AS mean_RM
  round(stddev_samp(MAE), 6) AS std_MAE, round(stddev_samp(RMSE), 6) AS std_RMSE"""
 
 
-# The published forest; depth 0 is unbounded.
-_PUBLISHED = {"numTrees": 300, "maxFeatures": 0.8, "minSamplesLeaf": 2, "maxDepth": 0}
-
-
 def _tree_scores(spark, folder):
     """Randomised trees fitted on the training rows, applied to the validation rows."""
     train, valid = _split(spark, folder)
     with prepared(train, valid) as (roles, fit_rows, score_on):
-        model = extra_trees(roles, **_PUBLISHED).fit(fit_rows)
+        model = extra_trees(roles, **PUBLISHED).fit(fit_rows)
         scored = m.floor_predictions(model.transform(score_on))
     return rounded(scored.select("load_id", TARGET, PREDICTION), 6)
 
 
 def _final_scores(spark, folder):
-    """Final fit on every labelled row, saved, loaded again and applied to the latest loads."""
+    """Final fit on every labelled load but the latest, saved, loaded again and applied to the latest, which it has not seen.
+
+    Undated loads are among those fitted on, as in the published final fit.
+    """
     path = scratch_path(spark, "final-model")
     table = features(spark, folder)
-    final_fit(table, path, **_PUBLISHED)
+    final_fit(table.where(F.col("date").isNull() | (F.col("date") < F.lit(CUT))), path, **PUBLISHED)
     latest = sp.holdout(clean(spark, folder), CUT)[1].drop(TARGET)
     return rounded(score_batch(latest, load_model(spark, path)), 6)
 
 
+_PLAIN_INPUTS = ["distance", "weight", "market_index", "equipment"]
+
+
+def _plain_fit(spark, folder, **params):
+    """A forest on rows that are complete in four inputs, and these rows."""
+    rows = sp.holdout(features(spark, folder), CUT)[0].select("load_id", *_PLAIN_INPUTS, TARGET).dropna()
+    with cached(rows) as (train,):
+        return extra_trees(column_roles(train.schema), **params).fit(train), rows
+
+
+_PLAIN = (
+    "plain",
+    f"""SELECT load_id, distance, weight, market_index, equipment, posted_rate FROM features WHERE {_TRAIN} AND distance IS NOT NULL
+    AND weight IS NOT NULL AND market_index IS NOT NULL AND equipment IS NOT NULL""",
+)
+
+
+def _leaf_totals(spark, folder):
+    """Rows and mean label over the leaves of each tree: those of the training rows."""
+    model, _ = _plain_fit(spark, folder, **{**PUBLISHED, "numTrees": 16})
+    leaves = model.nodes.where("feature < 0")
+    return rounded(
+        leaves.groupBy("tree").agg(F.sum("rows").alias("rows"), (F.sum(F.col("rows") * F.col("value")) / F.sum("rows")).alias("mean")), 5
+    )
+
+
+def _full_tree(spark, folder):
+    """A tree without limits gives each training row the mean label of the rows with its inputs."""
+    model, rows = _plain_fit(spark, folder, numTrees=1, minSamplesLeaf=1, maxFeatures=0.8, maxDepth=0)
+    return rounded_mean(model.transform(rows).select("load_id", PREDICTION), PREDICTION)
+
+
+def _tree_walk(spark, folder):
+    return _rounded_metrics(walk_forward(features(spark, folder), FOLDS, lambda roles: extra_trees(roles, **PUBLISHED)))
+
+
 QUERIES = {
     "ml1_drop_undated": Query(
         lambda s, d: sp.drop_undated(clean(s, d)).select("load_id", "date"),
@@ -338,6 +375,24 @@ QUERIES = {
         ),
     ),
     "ml12_extra_trees": Query(_tree_scores),
+    "ml12_leaf_totals": Query(
+        _leaf_totals,
+        over(
+            "features",
+            """SELECT cast(t.tree AS INTEGER) AS tree, count(*) AS rows, round(avg(posted_rate), 5) AS mean
+            FROM plain, (SELECT unnest(range(0, 16)) AS tree) t GROUP BY 1""",
+            _PLAIN,
+        ),
+    ),
+    "ml12_full_tree": Query(
+        _full_tree,
+        over(
+            "features",
+            f"""SELECT load_id, {rounded_mean_sql('avg(posted_rate) OVER (PARTITION BY distance, weight, market_index, equipment)')}
+            AS predicted_rate FROM plain""",
+            _PLAIN,
+        ),
+    ),
     "ml13_floor_predictions": Query(
         _floored,
         over(
@@ -351,7 +406,7 @@ QUERIES = {
     ),
     "ml18_model_comparison": Query(_comparison, _baseline_metrics_sql("'dummy_mean' AS model, ")),
     "ml17_18_compare_models": Query(
-        lambda s, d: _rounded_metrics(compare_models(features(s, d), CUT, default_models(**_PUBLISHED)))
+        lambda s, d: _rounded_metrics(compare_models(features(s, d), CUT, default_models(**PUBLISHED)))
     ),
     "ml19_fold_membership": Query(
         lambda s, d: sp.assign_folds(clean(s, d), FOLDS)
@@ -374,6 +429,7 @@ QUERIES = {
             FROM scored WHERE role = 'valid' GROUP BY 1""",
         )),
     ),
+    "ml19_20_walk_forward_trees": Query(_tree_walk),
     "ml22_tuning_grid": Query(
         lambda s, d: _rounded_metrics(tune(features(s, d), FOLDS))
     ),

@@ -7,11 +7,12 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ratelens.models.baseline import MeanRegressor
+from ratelens.models.evaluation import final_fit, load_model
 from ratelens.models.preparation import labelled, rate_model
 from ratelens.operators import contract as c
 from ratelens.operators import scenario as sc
 from ratelens.operators.splits import holdout
-from ratelens.plans.common import CUT, Query, clean, features, rounded, rounded_mean, rounded_mean_sql
+from ratelens.plans.common import CUT, PUBLISHED, Query, clean, features, rounded, rounded_mean, rounded_mean_sql
 from ratelens.plans.sql import over, union
 from ratelens.sources import files
 from ratelens.sources.schemas import LOAD_TYPES, PREDICTION, SCENARIO_COLUMNS
@@ -121,6 +122,15 @@ def scenario_scores(spark, folder):
     return sc.score_scenario(_grid(spark, folder), model, place_coords(spark, folder))
 
 
+def tree_scenario(spark, folder):
+    """The published forest, fitted before the cut, saved, loaded again and applied to every lane and day."""
+    train, _ = holdout(features(spark, folder), CUT)
+    path = files.scratch_path(spark, "scenario-model")
+    final_fit(train, path, **PUBLISHED)
+    scored = sc.score_scenario(_grid(spark, folder), load_model(spark, path), place_coords(spark, folder))
+    return rounded(scored.select("pickup", "delivery", "date", PREDICTION), 6)
+
+
 _SCENARIO = (
     "scenario",
     f"""SELECT pickup, delivery, distance, equipment, weight, cast(day AS DATE) AS date,
@@ -162,9 +172,12 @@ _SUBMITTED = (
 )
 
 
+def _expected(spark, folder):
+    return table(spark, folder, "orders").select(F.format_string("TE-%06d", "o_orderkey").alias("load_id")).distinct()
+
+
 def _prediction_rules(spark, folder):
-    expected = table(spark, folder, "orders").select(F.format_string("TE-%06d", "o_orderkey").alias("load_id"))
-    report = c.check_predictions(_predictions(spark, folder), expected.distinct())
+    report = c.check_predictions(_predictions(spark, folder), _expected(spark, folder))
     return report.select("position", "rule", "violations", "passed")
 
 
@@ -192,9 +205,9 @@ def _rules_sql(rules: list[tuple[str, str]]) -> str:
     return f"SELECT *, violations = 0 AS passed FROM ({union(rows)}) r"
 
 
-def _prediction_rules_sql() -> str:
+def _prediction_rules_sql(rules=_PREDICTION_RULES) -> str:
     parts = ",\n".join(f"{n} AS ({t})" for n, t in (_SUBMITTED, _EXPECTED))
-    return f"WITH {parts}\n{_rules_sql(_PREDICTION_RULES)}"
+    return f"WITH {parts}\n{_rules_sql(rules)}"
 
 
 _LANE = c.Lane(
@@ -203,11 +216,12 @@ _LANE = c.Lane(
 )
 
 
-def _scenario_table(spark, folder):
-    """Scenario-shaped table: one row per load of the lane's end place, real dates and sizes."""
+def _scenario_table(spark, folder, undated=False):
+    """Scenario-shaped table: one row per load of the lane's end place, real dates and sizes; undated loads on request."""
+    late = F.col("date") >= F.lit(_LANE.start)
     return (
         clean(spark, folder)
-        .where(F.col("date") >= F.lit(_LANE.start))
+        .where(late | F.col("date").isNull() if undated else late)
         .withColumn(PREDICTION, F.col("posted_rate") - 1000.0)
         .select(*SCENARIO_COLUMNS)
     )
@@ -219,7 +233,7 @@ def _scenario_rules(spark, folder):
     )
 
 
-def _scenario_rules_sql() -> str:
+def _scenario_rules_sql(undated=False) -> str:
     days = (_LANE.end - _LANE.start).days + 1
     period = f"date BETWEEN DATE '{_LANE.start}' AND DATE '{_LANE.end}'"
 
@@ -227,7 +241,7 @@ def _scenario_rules_sql() -> str:
         return f"(SELECT count(*) FROM t WHERE NOT coalesce({test}, false))"
 
     rules = [
-        ("columns", "cast(0 AS BIGINT)"),
+        ("columns", f"cast({int(undated)} AS BIGINT)"),
         ("invalid_dates", "(SELECT count(*) FROM t WHERE date IS NULL)"),
         ("distance_not_finite", "(SELECT count(*) FROM t WHERE distance IS NULL)"),
         ("weight_not_finite", "(SELECT count(*) FROM t WHERE weight IS NULL)"),
@@ -246,7 +260,11 @@ def _scenario_rules_sql() -> str:
     return over(
         "clean",
         _rules_sql(rules),
-        ("t", f"SELECT *, posted_rate - 1000 AS p FROM clean WHERE date >= DATE '{_LANE.start}'"),
+        (
+            "t",
+            f"""SELECT *, posted_rate - 1000 AS p FROM clean
+            WHERE date >= DATE '{_LANE.start}'{' OR date IS NULL' if undated else ''}""",
+        ),
     )
 
 
@@ -274,6 +292,11 @@ QUERIES = {
             FROM clean""",
         ),
     ),
+    "io3_scan_report": Query(
+        lambda s, d: files.scan_report(s, {n: f"{d}/{n}.parquet" for n in ("orders", "lineitem", "absent")}),
+        """SELECT 'orders' AS label, true AS readable, count(*) AS rows FROM orders
+        UNION ALL SELECT 'lineitem', true, count(*) FROM lineitem UNION ALL SELECT 'absent', false, NULL""",
+    ),
     "io6_published_columns": Query(_published, _PUBLISHED_SQL),
     "sc1_daily_calendar": Query(
         _calendar,
@@ -323,6 +346,7 @@ QUERIES = {
             _SCENARIO,
         ),
     ),
+    "sc5_tree_scenario": Query(tree_scenario),
     "sc6_publish": Query(
         lambda s, d: rounded(sc.publish(_grid(s, d).withColumn(PREDICTION, F.col("distance") * 2.5)), 6),
         over(
@@ -333,6 +357,12 @@ QUERIES = {
         ),
     ),
     "va1_6_prediction_rules": Query(_prediction_rules, _prediction_rules_sql()),
+    "va1_planted_columns": Query(
+        lambda s, d: c.check_predictions(_predictions(s, d).select(PREDICTION, "load_id"), _expected(s, d)).select(
+            "position", "rule", "violations", "passed"
+        ),
+        _prediction_rules_sql([("columns", "cast(1 AS BIGINT)"), *_PREDICTION_RULES[1:]]),
+    ),
     "va4_key_set": Query(
         lambda s, d: c.expected_keys(s, 12_000)
         .join(_predictions(s, d).select("load_id"), "load_id", "left_anti"),
@@ -342,5 +372,11 @@ QUERIES = {
           (SELECT load_id FROM submitted WHERE load_id IS NOT NULL)""",
     ),
     "va7_14_scenario_rules": Query(_scenario_rules, _scenario_rules_sql()),
+    "va7_8_planted_columns_and_dates": Query(
+        lambda s, d: c.check_scenario(_scenario_table(s, d, undated=True).select(*reversed(SCENARIO_COLUMNS)), _LANE).select(
+            "position", "rule", "violations", "passed"
+        ),
+        _scenario_rules_sql(undated=True),
+    ),
     "va15_chart_rows": Query(_chart, _CHART_SQL),
 }

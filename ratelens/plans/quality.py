@@ -20,6 +20,12 @@ _TYPES = {
 _NUMERIC = [c for c, t in _TYPES.items() if t == "double"]
 
 
+def planted_targets(df):
+    """Loads whose target is missing without equipment and negative on the shortest hauls."""
+    rate = F.when(F.col("distance") < 100, -F.col("posted_rate")).otherwise(F.col("posted_rate"))
+    return df.withColumn("posted_rate", F.when(F.col("equipment").isNotNull(), rate))
+
+
 def _quality_sql() -> str:
     rows = [
         f"""SELECT '{c}' AS "column", '{t}' AS dtype, count(*) - count({c}) AS missing,
@@ -205,6 +211,20 @@ QUERIES = {
             count(*) = count(posted_rate) FROM clean""",
         ),
     ),
+    "dq12_planted_targets": Query(
+        lambda s, d: q.check_target(planted_targets(clean(s, d))),
+        over(
+            "clean",
+            """SELECT 'negative_target' AS rule, 'error' AS severity, count(*) FILTER (WHERE y < 0) AS violations,
+            count(*) FILTER (WHERE y < 0) = 0 AS passed FROM planted
+            UNION ALL SELECT 'missing_target', 'warning', count(*) - count(y), count(*) = count(y) FROM planted""",
+            (
+                "planted",
+                """SELECT CASE WHEN equipment IS NULL THEN NULL WHEN distance < 100 THEN -posted_rate
+                ELSE posted_rate END AS y FROM clean""",
+            ),
+        ),
+    ),
     "dq13_numeric_summary": Query(
         lambda s, d: rounded(q.numeric_summary(loads(s, d)), 6),
         over("loads", describe_sql("loads", {c: c for c in _NUMERIC})),
@@ -217,6 +237,13 @@ QUERIES = {
         lambda s, d: q.shape_report(loads_raw(s, d)),
         over("loads_raw", "SELECT count(*) AS rows, cast(14 AS BIGINT) AS columns FROM loads_raw"),
     ),
-    "dq16_head": Query(lambda s, d: q.head(loads_raw(s, d))),
+    "dq16_head": Query(
+        lambda s, d: rounded(q.head(loads_raw(s, d), order_by=["load_id", "pickup"]), 6),
+        over(
+            "loads_raw",
+            f"""SELECT {", ".join(f"round({c}, 6) AS {c}" if t == "double" else c for c, t in _TYPES.items())}
+            FROM loads_raw ORDER BY load_id, pickup LIMIT 5""",
+        ),
+    ),
     "dq17_feature_columns": Query(_feature_counts, _feature_counts_sql()),
 }

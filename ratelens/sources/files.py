@@ -54,6 +54,21 @@ def read_parquet(spark: SparkSession, path: str, label: str = "table") -> DataFr
         raise ContractError(f"could not read {label} at {path}: {exc.getCondition()}") from exc
 
 
+def scan_report(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """``label, readable, rows`` of guarded Parquet scans; a path that cannot be read has no rows."""
+    reports = []
+    for label, path in paths.items():
+        try:
+            counted = read_parquet(spark, path, label).agg(F.count(F.lit(1)).alias("rows"))
+            reports.append(counted.select(F.lit(label).alias("label"), F.lit(True).alias("readable"), "rows"))
+        except ContractError:
+            reports.append(spark.createDataFrame([(label, False, None)], "label string, readable boolean, rows long"))
+    out = reports[0]
+    for report in reports[1:]:
+        out = out.unionByName(report)
+    return out
+
+
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     """Write a header CSV, optionally projected to an exact column list.
 
