@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from ratelens.llm.common import scratch_table, table
 from ratelens.llm.decontamination import decontaminate
-from ratelens.llm.packing import pack, with_checksum
+from ratelens.llm.packing import pack
 from ratelens.llm.secrets import redact
 from ratelens.llm.simhash import keep_one
 from ratelens.llm.toxicity import drop_toxic
@@ -35,7 +35,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training windows."""
-    return with_checksum(pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), checksum=True)
 
 
 STAGES = [

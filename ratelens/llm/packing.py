@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import unicodedata
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratelens.llm.common import named
@@ -20,9 +22,9 @@ from ratelens.llm.tokens import tokenizer
 CAPACITY = 2048
 END = 1
 #: Windows' worth of tokens that are balanced together; bounds the work and memory of one differencing.
-BLOCK_WINDOWS = 64
+BLOCK_WINDOWS = 128
 #: Entries that a worker's caches of chunks and of pre-tokens may have; a full one is emptied.
-CACHE = 400_000
+CACHE = 800_000
 
 # Characters that normalisation and lower-casing keep one to one, and whose classes are settled.
 _KEPT = "\x21-\x7e\xa1-įı-ɏ"
@@ -38,6 +40,14 @@ _PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^
 #: Stands between pre-tokens that are encoded together.
 _BETWEEN = "|"
 
+def _bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 _caches: dict[str, tuple[dict, dict]] = {}
 
 
@@ -69,7 +79,7 @@ class Encoder:
         if len(words) + len(new) > CACHE:
             words.clear()
             new = list(set(parts))
-        words.update((w, np.array([t.id for t in self.merge(w)], dtype="<u4").tobytes()) for w in new if w.isascii())
+        words.update((w, _bytes([t.id for t in self.merge(w)])) for w in new if w.isascii())
         new = [w for w in new if not w.isascii()]
         apart = [w for w in new if self.between is None or _BETWEEN in w]
         joined = [w for w in new if self.between is not None and _BETWEEN not in w]
@@ -161,117 +171,93 @@ def balance(pieces: list[Piece], capacity: int) -> list[list[Piece]]:
         k += 1
 
 
-def fill(pieces: list[Piece], capacity: int) -> tuple[list[list[Piece]], list[Piece]]:
-    """Full windows, and the pieces that are left, less than one window of them.
-
-    The emptiest balanced windows are taken apart and their pieces cut into the room of the others.
-    """
-    full = sum(n for _, _, n in pieces) // capacity
-    if not full:
-        return [], pieces
-    windows = sorted(balance(pieces, capacity), key=lambda w: -sum(n for _, _, n in w))
-    windows, rest = windows[:full], [p for w in windows[full:] for p in w]
-    for window in windows:
-        room = capacity - sum(n for _, _, n in window)
-        while room:
-            doc, start, n = rest.pop()
-            window.append((doc, start, min(n, room)))
-            if n > room:
-                rest.append((doc, start + room, n - room))
-            room -= min(n, room)
-    return windows, rest
-
-
-def by_powers(pieces: list[Piece]) -> list[list[Piece]]:
-    """Sequences whose lengths are powers of two, which need no padding: the binary digits of the sum."""
-    left, out = sum(n for _, _, n in pieces), []
-    rest = list(reversed(pieces))
-    while left:
-        room = 1 << (left.bit_length() - 1)
-        left -= room
-        out.append([])
-        while room:
-            doc, start, n = rest.pop()
-            out[-1].append((doc, start, min(n, room)))
-            if n > room:
-                rest.append((doc, start + room, n - room))
-            room -= min(n, room)
-    return out
+_NAMES = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
 
-_NAMES = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+class _Rows:
+    """Pieces of finished sequences, column by column."""
+
+    def __init__(self, first: int, checksum: bool):
+        self.sequence, self.checksum = first, checksum
+        self.columns: list[list] = [[] for _ in range(7)]
+
+    def add(self, pieces: list[Piece], docs: dict[int, tuple]) -> None:
+        """One more sequence."""
+        key, start, length, ids, total, sequence, offset = self.columns
+        at = 0
+        for doc, first, n in pieces:
+            name, tokens = docs[doc]
+            part = memoryview(tokens)[4 * first : 4 * (first + n)]
+            key.append(name)
+            start.append(first)
+            length.append(n)
+            ids.append(zlib.crc32(part) if self.checksum else bytes(part))
+            total.append(len(tokens) // 4)
+            sequence.append(self.sequence)
+            offset.append(at)
+            at += n
+        self.sequence += 1
+
+    def flush(self, kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+        types = [kind, pa.int64(), pa.int64(), pa.int64() if self.checksum else pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(self.columns, types, strict=True)], names=names)
+        self.columns = [[] for _ in range(7)]
+        return batch
 
 
 def pack(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-    end: int = END,
+    end: int = END, checksum: bool = False,
 ) -> DataFrame:
     """Pieces of documents in sequences of at most ``capacity`` tokens.
 
     One row per piece: the document's id, ``start`` (its tokens before the piece), ``length``, ``ids`` (little-endian
-    unsigned 32-bit integers), ``doc_tokens``, ``sequence_id`` and ``offset`` in the sequence. A document is its token
-    ids and the id ``end``; null and empty texts are that id alone. Repeated rows are packed each, a null id stays null,
-    an empty table gives no rows, other columns are ignored.
-
-    Each task packs the documents of its partition as they come, in blocks of ``BLOCK_WINDOWS`` windows: what exceeds
-    full windows of a long document is balanced by differencing, rooms are filled by cutting the pieces of the emptiest
-    windows, and less than a window goes on to the next block. A task's last tokens make sequences whose lengths are
-    powers of two. So no sequence needs padding, nothing is shuffled and memory is bounded by a block and a document.
-    Sequence ids hold the partition and a running number.
+    unsigned 32-bit integers; with ``checksum`` instead ``ids_crc32``, their CRC-32), ``doc_tokens``, ``sequence_id`` and
+    ``offset`` in the sequence. A document is its token ids and the id ``end``; null and empty texts are that id alone.
+    Repeated rows are packed each, a null id stays null, an empty table gives no rows, other columns are ignored.
+
+    Each task packs the documents of its partition as they come. A document is cut where it exceeds a window, and the
+    rests of ``BLOCK_WINDOWS`` windows' worth of documents are balanced by differencing, one window more whenever the
+    fullest would exceed the capacity. The windows stay as they are balanced, about a fiftieth of them is padding.
+    Nothing is shuffled and memory is bounded by a block and a document. Sequence ids hold the partition and a running
+    number.
     """
     rows = docs.select(named(id_col).alias("_id"), named(text_col).cast("string").alias("_text"))
-    kinds = [T.LongType(), T.LongType(), T.BinaryType(), T.LongType(), T.LongType(), T.LongType()]
-    schema = T.StructType([T.StructField(id_col, rows.schema["_id"].dataType), *map(T.StructField, _NAMES, kinds)])
+    kinds = [T.LongType(), T.LongType(), T.LongType() if checksum else T.BinaryType(), T.LongType(), T.LongType(), T.LongType()]
+    names = [id_col, *[("ids_crc32" if checksum else n) if n == "ids" else n for n in _NAMES]]
+    schema = T.StructType([T.StructField(id_col, rows.schema["_id"].dataType), *map(T.StructField, names[1:], kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = Encoder(tokenizer_path), TaskContext.get().partitionId() << 40
+        encoder = Encoder(tokenizer_path)
         last = np.array([end], dtype="<u4").tobytes()
-        keys: dict[int, tuple] = {}  # of documents with pieces that wait
+        out = _Rows(TaskContext.get().partitionId() << 40, checksum)
+        held: dict[int, tuple] = {}  # documents with pieces that wait
         waiting: list[Piece] = []
         size = serial = 0
-
-        def out(sequences: list[list[Piece]], kind: pa.DataType) -> pa.RecordBatch:
-            nonlocal sequence
-            rows = []
-            for pieces in sequences:
-                offset = 0
-                for doc, start, n in pieces:
-                    key, ids = keys[doc]
-                    rows.append((key, start, n, ids[4 * start : 4 * (start + n)], len(ids) // 4, sequence, offset))
-                    offset += n
-                sequence += 1
-            types = [kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            columns = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)]
-            return pa.RecordBatch.from_arrays(columns, names=[id_col, *_NAMES])
-
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys[serial] = key, encoder.encode(text or "") + last
-                n = len(keys[serial][1]) // 4
+                held[serial] = key, encoder.encode(text or "") + last
+                n = len(held[serial][1]) // 4
                 whole = n - n % capacity
-                if whole:
-                    yield out([[(serial, at, capacity)] for at in range(0, whole, capacity)], kind)
+                for at in range(0, whole, capacity):
+                    out.add([(serial, at, capacity)], held)
                 if n > whole:
                     waiting.append((serial, whole, n - whole))
                     size += n - whole
                 else:
-                    del keys[serial]
+                    del held[serial]
                 serial += 1
                 if size >= BLOCK_WINDOWS * capacity:
-                    windows, waiting = fill(waiting, capacity)
-                    yield out(windows, kind)
-                    keys = {doc: keys[doc] for doc, _, _ in waiting}
-                    size = sum(n for _, _, n in waiting)
+                    for window in balance(waiting, capacity):
+                        out.add(window, held)
+                    held, waiting, size = {}, [], 0
+                    yield out.flush(kind, names)
         if waiting:
-            windows, waiting = fill(waiting, capacity)
-            yield out(windows + by_powers(waiting), kind)
+            for window in balance(waiting, capacity):
+                out.add(window, held)
+        if kind is not None:
+            yield out.flush(kind, names)
 
     return rows.mapInArrow(run, schema)
-
-
-def with_checksum(pieces: DataFrame) -> DataFrame:
-    """The pieces with the CRC-32 of their ids in their place."""
-    names = [c if c != "ids" else F.crc32("ids").alias("ids_crc32") for c in pieces.columns]
-    return pieces.select(*names)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from ratelens.llm.common import table
 from ratelens.llm.decontamination import find_contamination
-from ratelens.llm.packing import pack, with_checksum
+from ratelens.llm.packing import pack
 from ratelens.llm import chat, personal, quality, secrets, sql, toxicity
 from ratelens.llm.collocations import collocations
 from ratelens.llm.simhash import near_duplicates
@@ -32,9 +32,9 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """Pieces of all documents in full windows."""
+    """Pieces of all documents in balanced windows."""
     docs = table(spark, folder, "documents")
-    return with_checksum(pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), checksum=True)
 
 
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
