@@ -129,7 +129,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         return [pa.array([_packed(term_vector(t)) for t in texts], type=pa.binary())]
 
     rows = map_text(found, "_text", [T.StructField("_terms", T.BinaryType())], work, ("_text",))
-    learnt = rows.orderBy("_id", "_terms").select("_terms", "_label").toArrow()  # ``sample`` ids, at most TERMS * 6 bytes a row
+    learnt = rows.orderBy("_id", "_terms").select("_terms", "_label").toArrow()  # ``sample`` rows, at most TERMS * 6 bytes a row
     seen = _unpacked(learnt["_terms"].to_pylist())
     return fit(seen, np.array(learnt["_label"].to_pylist(), dtype=np.int64) > 0)
 

@@ -114,21 +114,36 @@ _REST = T.ArrayType(T.StructType([T.StructField("pre_token", T.StringType()), T.
 _REST_ARROW = pa.list_(pa.struct([("pre_token", pa.string()), ("n", pa.int64())]))
 
 
+def _frequent(pieces: DataFrame) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens, at most FREQUENT: those above a frequency that the counts per class give.
+
+    Classes are sixteenths of a power of two, so a thousand rows bound what the counts send, whatever the corpus.
+    """
+    short = pieces.where(F.octet_length("pre_token") <= LONGEST)
+    level = F.floor(16 * F.log2("frequency")).cast("int")
+    least, kept = None, 0
+    for r in sorted(short.groupBy(level.alias("level")).count().collect(), reverse=True):
+        kept += r["count"]
+        if kept > FREQUENT:
+            break
+        least = r["level"]
+    if least is None:
+        return {}
+    return {r[0]: r[1] for r in short.where(level >= least).select("pre_token", "pieces").collect()}
+
+
 def count_tokens(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024
 ) -> DataFrame:
     """Tokens of every document: ``id_col``, n_bytes, n_tokens and whether they exceed ``limit``.
 
     Pieces are counted once per distinct pre-token of the corpus. Each task sums the pre-tokens of the bounded table of
-    the ``FREQUENT`` most frequent ones itself; only the rare ones are shuffled, as (document, pre-token, frequency),
+    at most ``FREQUENT`` of the most frequent ones itself; only the rare ones are shuffled, as (document, pre-token, frequency),
     and meet their counts in a join. No token ids are kept. Null and empty texts have no tokens, repeated rows are
     counted each, a null id stays null. Columns besides the two named are ignored.
     """
     pieces = scratch_table(pre_token_pieces(docs, tokenizer_path, text_col=text_col), "pieces")
-    frequent = (
-        pieces.where(F.octet_length("pre_token") <= LONGEST).orderBy(F.desc("frequency"), "pre_token").limit(FREQUENT)
-    )
-    known = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in frequent.select("pre_token", "pieces").collect()})
+    known = docs.sparkSession.sparkContext.broadcast(_frequent(pieces))
     ids = docs.select(named(id_col).alias("_id"), named(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

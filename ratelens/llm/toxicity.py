@@ -137,15 +137,18 @@ def held_out(key: Column, parts: int, part: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, parts: int, part: int, rows: int) -> DataFrame:
-    """``_text`` and ``_label`` of at most ``rows`` labelled ids that are not held out, those of the least hash.
+    """``_id``, ``_text`` and ``_label`` of at most ``rows`` labelled texts that are not held out: of the ids of the least hash.
 
-    An id with several labels has the largest.
+    An id with several labels has the largest, an id with several texts has each different one once, as long as there are
+    not more than ``rows`` in all; then those of the least hash of id and text count. So the bound holds for rows, too.
     """
     open_ids = labels.select(named(id_col).alias("_id"), named(label).cast("int").alias("_label")).where("_id is not null and _label is not null")
     few = open_ids.where(~held_out(F.col("_id"), parts, part)).groupBy("_id").agg(F.max("_label").alias("_label"))
     few = few.orderBy(F.xxhash64("_id"), "_id").limit(rows)  # bounds the broadcast, too
     texts = docs.select(named(id_col).alias("_id"), named(text_col).cast("string").alias("_text"))
-    return texts.join(F.broadcast(few), "_id").select("_id", "_text", "_label")
+    found = texts.join(F.broadcast(few), "_id").select("_id", F.coalesce("_text", F.lit("")).alias("_text"), "_label")
+    each = found.groupBy("_id", F.md5("_text").alias("_h")).agg(F.first("_text").alias("_text"), F.max("_label").alias("_label"))
+    return each.orderBy(F.xxhash64("_id", "_h"), "_id", "_h").limit(rows).select("_id", "_text", "_label")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> FactorizationMachine:
@@ -158,7 +161,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     fields = [T.StructField("_terms", T.ArrayType(T.LongType())), T.StructField("_values", T.ArrayType(T.DoubleType()))]
     rows = map_text(found, "_text", fields, work, ("_text",))
-    learnt = rows.orderBy("_id", "_terms").select("_terms", "_values", "_label").toArrow()  # at most ``sample`` ids
+    learnt = rows.orderBy("_id", "_terms").select("_terms", "_values", "_label").toArrow()  # at most ``sample`` rows
     samples = [(t.values.to_numpy(), x.values.to_numpy()) for t, x in zip(learnt["_terms"], learnt["_values"], strict=True)]
     return fit(samples, [int(x > 0) for x in learnt["_label"].to_pylist()])
 
