@@ -22,6 +22,8 @@ QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 DISTANCE_QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 WHISKER = 1.5
 GRID_POINTS = 200
+# Bandwidths beyond which exp(-z * z / 2) is zero in double precision.
+REACH = 38.7
 
 
 def numeric_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -128,11 +130,13 @@ def density_curve(df: DataFrame, columns: Sequence[str], points: int = GRID_POIN
     """Gaussian kernel density on an even grid over each column's range: ``column, point, x, density``.
 
     Scott bandwidth ``std * n ** (-1/5)``. Exact: equal values are counted first, then every
-    distinct value adds its kernel to the grid sums, which combine map-side, so the last
-    shuffle carries ``points`` rows per task and column.
+    distinct value adds its kernel to the sums of the grid points within ``REACH`` bandwidths, beyond
+    which a double holds no part of it. The sums combine map-side, so the last shuffle carries at
+    most ``points`` rows per task and column; the bandwidth, and with it the terms of a value,
+    shrink as the table grows.
     """
     value = F.col("value")
-    long = numeric_long(df, columns).where(value.isNotNull())
+    long = numeric_long(hand_over(df.select(*columns)), columns).where(value.isNotNull())
     facts = (
         long.groupBy("column")
         .agg(
@@ -153,14 +157,19 @@ def density_curve(df: DataFrame, columns: Sequence[str], points: int = GRID_POIN
     weights = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("w"))
     x = F.col("lo") + F.col("step") * F.col("point")
     kernel = F.exp(-0.5 * F.pow((x - value) / F.col("h"), 2)) * F.col("w")
-    total = F.sum(kernel) / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))
-    return (
+    first = F.greatest(F.lit(0), F.ceil((value - REACH * F.col("h") - F.col("lo")) / F.col("step"))).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((value + REACH * F.col("h") - F.col("lo")) / F.col("step"))).cast("int")
+    # A value between two grid points may reach none of them.
+    near = F.when(first <= last, F.sequence(first, last))
+    sums = (
         weights.join(F.broadcast(facts), "column")
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy("column", "point", "lo", "step", "n", "h")
-        .agg(total.alias("density"))
-        .select("column", "point", x.alias("x"), "density")
+        .withColumn("point", F.explode(near))
+        .groupBy("column", "point")
+        .agg(F.sum(kernel).alias("total"))
     )
+    grid = facts.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    density = F.coalesce("total", F.lit(0.0)) / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))
+    return grid.join(sums, ["column", "point"], "left").select("column", "point", x.alias("x"), density.alias("density"))
 
 
 def box_stats(df: DataFrame, value: str, by: str | None = None, exact: bool = True) -> DataFrame:

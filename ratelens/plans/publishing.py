@@ -66,6 +66,42 @@ _TOKENS_SQL = """SELECT cast(o_orderkey AS VARCHAR) AS load_id,
  CASE WHEN o_orderpriority = '3-MEDIUM' THEN NULL ELSE cast(o_custkey AS DOUBLE) END AS weight FROM orders"""
 
 
+def _planted_csv(spark, folder):
+    """Loads as CSV texts: whole miles, and a weight in words where no equipment is known."""
+    path = files.scratch_path(spark, "typed-csv")
+    rows = loads(spark, folder).select(
+        "load_id", F.floor("distance").alias("miles"), "distance",
+        F.when(F.col("equipment").isNull(), "heavy").otherwise(F.col("weight").cast("string")).alias("weight"), "date", "posted_rate",
+    )
+    files.write_csv(rows, path)
+    return path
+
+
+def _discovered(spark, folder):
+    raw = files.read_csv(spark, _planted_csv(spark, folder), "typed", {})
+    return files.column_types(raw).select("column", "type", "present", "missing", "numbers", "dates")
+
+
+def _discovered_sql() -> str:
+    columns = [
+        ("load_id", "load_id", "0", "0"), ("miles", "distance", "count(distance)", "0"), ("distance", "distance", "count(distance)", "0"),
+        ("weight", "w", "count(weight) FILTER (WHERE equipment IS NOT NULL)", "0"), ("date", "date", "0", "count(try_cast(date AS DATE))"),
+        ("posted_rate", "posted_rate", "count(posted_rate)", "0"),
+    ]
+    rows = [
+        f"""SELECT '{name}' AS "column", CASE WHEN numbers = present AND '{name}' = 'miles' THEN 'integer' WHEN numbers = present THEN 'double'
+        WHEN dates = present THEN 'date' ELSE 'text' END AS type, present, missing, numbers, dates
+        FROM (SELECT count({c}) AS present, count(*) - count({c}) AS missing, {n} AS numbers, {d} AS dates FROM planted) t"""
+        for name, c, n, d in columns
+    ]
+    planted = "SELECT *, CASE WHEN equipment IS NULL THEN 'heavy' ELSE cast(weight AS VARCHAR) END AS w FROM loads"
+    return over("loads", union(rows), ("planted", planted))
+
+
+def _widened(spark, folder):
+    return files.widened_columns(files.read_csv(spark, _planted_csv(spark, folder), "typed", {}))
+
+
 def _published(spark, folder):
     """Fixed-column rewrite: projected CSV written to a new path and read back."""
     path = files.scratch_path(spark, "published-csv")
@@ -292,6 +328,17 @@ QUERIES = {
             FROM clean""",
         ),
     ),
+    "io1_discovered_types": Query(_discovered, _discovered_sql()),
+    "io1_widened_columns": Query(
+        _widened,
+        over(
+            "loads",
+            """SELECT 'weight' AS "column", 'double' AS declared, 'text' AS type, count(*) AS lost FROM loads WHERE equipment IS NULL
+            HAVING count(*) > 0
+            UNION ALL SELECT 'date', 'date', 'text', count(date) - count(try_cast(date AS DATE)) FROM loads
+            HAVING count(date) > count(try_cast(date AS DATE))""",
+        ),
+    ),
     "io3_scan_report": Query(
         lambda s, d: files.scan_report(s, {n: f"{d}/{n}.parquet" for n in ("orders", "lineitem", "absent")}),
         """SELECT 'orders' AS label, true AS readable, count(*) AS rows FROM orders

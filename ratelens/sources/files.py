@@ -36,6 +36,58 @@ def read_csv(
     return raw.select(*[_typed(c, types.get(c), date_format).alias(c) for c in raw.columns])
 
 
+def column_types(raw: DataFrame, date_format: str | None = None) -> DataFrame:
+    """``column, type, present, missing, integers, numbers, dates`` of a table of texts, from one scan.
+
+    The type is the least one that holds every value: ``integer`` (without missing values), ``double``, ``date``, else
+    ``text``; a column without values is ``double``. Counts of what parses as each add up over tasks, so no task needs to
+    see all values and a single text keeps a column text.
+    """
+    facts = []
+    for name in raw.columns:
+        column = F.col(f"`{name}`")
+        value = F.when(~F.coalesce(column.isin(NA_TOKENS), F.lit(True)), column)
+        whole = value.rlike(r"^\s*[+-]?[0-9]+\s*$") & value.try_cast("bigint").isNotNull()
+        facts.append(
+            F.struct(
+                F.lit(name).alias("column"), F.count(value).alias("present"), F.count_if(value.isNull()).alias("missing"),
+                F.count_if(whole).alias("integers"), F.count(value.try_cast("double")).alias("numbers"),
+                # A bare number would pass for a year.
+                F.count(F.when(value.try_cast("double").isNull(), as_day(value, T.StringType(), date_format))).alias("dates"),
+            )
+        )
+    rows = raw.agg(F.array(*facts).alias("f")).select(F.inline("f"))
+    present = F.col("present")
+    kind = (
+        F.when((F.col("integers") == present) & (F.col("missing") == 0) & (present > 0), "integer")
+        .when(F.col("numbers") == present, "double")
+        .when(F.col("dates") == present, "date")
+        .otherwise("text")
+    )
+    return rows.select("column", kind.alias("type"), "present", "missing", "integers", "numbers", "dates")
+
+
+def read_csv_discovered(spark: SparkSession, path: str, label: str = "table", date_format: str | None = None) -> DataFrame:
+    """Header CSV scan whose types come from the data (``column_types``): nothing that is present becomes NULL."""
+    raw = read_csv(spark, path, label, types={})
+    kinds = {"integer": T.LongType(), "double": T.DoubleType(), "date": T.DateType(), "text": T.StringType()}
+    # One row per column.
+    found = {r["column"]: kinds[r["type"]] for r in column_types(raw, date_format).collect()}
+    return raw.select(*[_typed(c, found[c], date_format).alias(c) for c in raw.columns])
+
+
+def widened_columns(raw: DataFrame, types: Mapping[str, T.DataType] = LOAD_TYPES) -> DataFrame:
+    """``column, declared, type, lost``: columns whose values do not all fit the declared type, and how many do not.
+
+    Reading such a column as declared gives NULL for these values, reading it as discovered keeps them as text.
+    """
+    declared = [(c, types[c].simpleString()) for c in raw.columns if c in types and not isinstance(types[c], T.StringType)]
+    wanted = raw.sparkSession.createDataFrame(declared, "column string, declared string")
+    found = column_types(raw).join(F.broadcast(wanted), "column")
+    fits = F.when(F.col("declared") == "date", F.col("dates")).otherwise(F.col("numbers"))
+    return found.select("column", "declared", "type", (F.col("present") - fits).alias("lost")).where("lost > 0")
+
+
 def _typed(name: str, data_type: T.DataType | None, date_format: str | None):
     column = F.col(f"`{name}`")
     present = F.when(~column.isin(NA_TOKENS), column)

@@ -3,6 +3,8 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import types as T
+
 from ratelens.errors import ContractError
 from ratelens.operators import cleaning, distribution, explore, quality
 from ratelens.sources import files
@@ -154,3 +156,27 @@ def test_one_scan_feeds_the_quality_report(spark, folder):
     plan = quality.rule_violations(df.withColumnRenamed("l_quantity", "weight").select("weight", "l_tax"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "l_quantity" in text and "l_tax" not in text.split("ReadSchema")[-1]
+
+
+def test_discovered_types_keep_every_value(spark, tmp_path):
+    from ratelens.sources import files
+
+    rows = ["a,b,c,d,e,f", "1,1,1.5,2024-01-02,x,", "2,,oops,2024-01-03,7,NA", "9223372036854775808,3,2,,nan,"]
+    path = tmp_path / "t.csv"
+    path.write_text("\n".join(rows) + "\n")
+    got = files.read_csv_discovered(spark, str(path))
+    assert [t for _, t in got.dtypes] == ["double", "double", "string", "date", "string", "double"]
+    assert [r["c"] for r in got.collect()] == ["1.5", "oops", "2"]
+    assert [r["e"] for r in got.collect()] == ["x", "7", None]
+    report = files.widened_columns(files.read_csv(spark, str(path), types={}), {"c": T.DoubleType(), "b": T.DoubleType(), "e": T.StringType()})
+    assert [tuple(r) for r in report.collect()] == [("c", "double", "text", 1)]
+    whole = tmp_path / "w.csv"
+    whole.write_text("n\n1\n-2\n")
+    assert files.read_csv_discovered(spark, str(whole)).dtypes == [("n", "bigint")]
+
+
+def test_a_rule_that_is_not_computed_does_not_pass(spark):
+    from ratelens.operators import contract
+
+    found = contract._finish(spark.createDataFrame([("a", 0)], "rule string, violations long"), {"a": "x", "b": "y"})
+    assert [(r["rule"], r["passed"]) for r in found.collect()] == [("a", True), ("b", False)]
