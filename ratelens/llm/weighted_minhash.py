@@ -69,8 +69,8 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return found.select(F.col("_id").alias(id_col), "signature", digits("signature").alias("fingerprint"))
 
 
-def _ranges(ids: DataFrame, number: int) -> tuple[Column, Column]:
-    """The range of ``_id``, and whether it is the range's last id; bounds are ids, about equally many rows apart.
+def _ranges(ids: DataFrame, number: int) -> tuple[Column, Column | None]:
+    """The range of ``_id``, and whether it is the range's last id (null if all ids are); bounds are ids, about equally many rows apart.
 
     Bounds are looked up in two levels, so that their number costs a row only its root.
     """
@@ -84,7 +84,7 @@ def _ranges(ids: DataFrame, number: int) -> tuple[Column, Column]:
     outer = F.size(F.filter(tops, lambda x: x < F.col("_id")))
     part = F.get(table, outer)
     inner = F.size(F.filter(part, lambda x: x < F.col("_id")))
-    is_last = F.coalesce(F.get(part, inner) == F.col("_id"), F.lit(False))
+    is_last = F.coalesce(F.get(part, inner) == F.col("_id"), F.lit(False)) if found["m"] is not None else None
     place = F.when(F.col("_id").isNull(), 0).otherwise(outer * width + inner)
     return F.struct(place.alias("at"), ((place + 1) % len(bounds)).alias("above")), is_last
 
@@ -104,6 +104,8 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     rows = docs.select(named(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t"))
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     place, is_last = _ranges(rows.select("_id"), RANGES * parts)
+    if is_last is None:  # all rows are one range in the order of their texts, and the first of them follows the last
+        is_last = F.col("_t") == rows.agg(F.min("_t").alias("_t")).scalar()
     rows = rows.withColumn("_p", place)
     both = F.array(F.struct(F.col("_p.at").alias("r"), F.lit(0).alias("g")), F.struct(F.col("_p.above").alias("r"), F.lit(1).alias("g")))
     rows = rows.withColumn("_e", F.explode(F.when(is_last, both).otherwise(F.slice(both, 1, 1))))

@@ -44,6 +44,15 @@ def test_fingerprints_follow_the_edit_and_jaccard(spark):
     assert edited_fingerprints(frame(spark, [])).count() == 0
 
 
+def test_edited_texts_where_all_ids_are_null(spark):
+    texts = sorted(["aaa bbb ccc", "ddd eee fff ggg", "zzz yyy"])
+    rows = spark.createDataFrame([(None, t) for t in reversed(texts)], "doc_id long, text string")
+    found = {r.n_chars: r.edited_sha256 for r in edited_fingerprints(rows, samples=4).collect()}
+    for t, after in zip(texts, texts[1:] + texts[:1], strict=True):
+        third = len(t) // 3
+        assert found[len(t)] == hashlib.sha256((t[: len(t) - third] + after[:third]).encode()).hexdigest()
+
+
 def test_repeats_against_brute_force(spark):
     texts = [(t or "").encode() for t in TEXTS]
     seen = Counter(hash(t[i : i + 400]) for t in texts for i in range(len(t) - 399))
