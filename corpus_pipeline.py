@@ -46,7 +46,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-# A fitted model and a tokenizer are beyond SQL. No test runs the pipeline yet.
+# A fitted model and a tokenizer are beyond SQL; tests/llm/test_pipeline.py holds the stages to what they take out.
 ORACLE_SQL = None
 
 
