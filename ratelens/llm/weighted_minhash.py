@@ -14,6 +14,8 @@ SAMPLES = 128
 #: Partitions of texts per shuffle partition, as the terms of a partition's texts are counted in memory, and ranges of
 #: ids per such partition.
 PARTS, RANGES = 4, 2
+#: Samples that one row carries while least ones are sought; their code stays small enough to be compiled.
+BLOCK = 8
 
 
 def _uniform(bits: Column, width: int) -> Column:
@@ -21,34 +23,53 @@ def _uniform(bits: Column, width: int) -> Column:
     return (bits.bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) * 2.0**-width
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """The ``k``-th sample of a weighted term: 31 bits of its rank above 32 bits that identify term and level.
+def samples_of(weighted: DataFrame, keep: list[str], number: int) -> DataFrame:
+    """Samples ``_m0``, ``_m1``, ... of each row's term ``_w`` with the log weight ``_s``, the first of them its ``_k``-th.
 
-    With r and c from Gamma(2, 1) and b uniform, all fixed by term and k, the level is t = floor(ln(weight) / r + b) and
-    the rank is ln c - r (t - b + 1). The least sample of a text's terms equals that of another text with a probability
-    of their generalised Jaccard similarity.
+    A sample is 31 bits of its rank above 32 bits that identify term and level. With r and c from Gamma(2, 1) and b
+    uniform, all fixed by term and k, the level is t = floor(ln(weight) / r + b) and the rank is ln c - r (t - b + 1). The
+    least sample of a text's terms equals that of another text with a probability of their generalised Jaccard similarity.
     """
-    one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    r = -F.ln(_uniform(one, 21) * _uniform(F.shiftrightunsigned(one, 21), 21))
-    b = _uniform(F.shiftrightunsigned(one, 42), 21)
-    t = F.floor(log_weight / r + b)
-    c = -F.ln(_uniform(two, 32) * _uniform(F.shiftrightunsigned(two, 32), 32))
-    rank = F.ln(c) - r * (t - b + 1)
-    high = F.greatest(F.lit(0), F.least(F.lit((1 << 31) - 1), F.floor((rank + 64) * 2.0**24)))
-    return F.shiftleft(high.cast("long"), 32).bitwiseOR(F.xxhash64(two, t).bitwiseAND(F.lit((1 << 32) - 1)))
+    each = range(number)
+    hashes = [F.xxhash64("_w", 2 * (F.col("_k") + j) + i).alias(f"_{'uv'[i]}{j}") for j in each for i in (0, 1)]
+    df = weighted.select(*keep, "_s", *hashes)
+    r = [(-F.ln(_uniform(F.col(f"_u{j}"), 21) * _uniform(F.shiftrightunsigned(f"_u{j}", 21), 21))).alias(f"_r{j}") for j in each]
+    df = df.select("*", *r)
+    levels = [F.floor(F.col("_s") / F.col(f"_r{j}") + _uniform(F.shiftrightunsigned(f"_u{j}", 42), 21)).alias(f"_t{j}") for j in each]
+    df = df.select("*", *levels)
 
+    def packed(j: int) -> Column:
+        v = F.col(f"_v{j}")
+        c = -F.ln(_uniform(v, 32) * _uniform(F.shiftrightunsigned(v, 32), 32))
+        rank = F.ln(c) - F.col(f"_r{j}") * (F.col(f"_t{j}") - _uniform(F.shiftrightunsigned(f"_u{j}", 42), 21) + 1)
+        high = F.greatest(F.lit(0), F.least(F.lit((1 << 31) - 1), F.floor((rank + 64) * 2.0**24)))
+        low = F.xxhash64(v, F.col(f"_t{j}")).bitwiseAND(F.lit((1 << 32) - 1))
+        # Adding nothing in a way that is not deterministic has Spark take the sample here, not wherever it is read.
+        return (F.shiftleft(high.cast("long"), 32).bitwiseOR(low) + F.spark_partition_id() * 0).alias(f"_m{j}")
 
-def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and ``signature``, ``samples`` numbers of 32 bits, of every row of ``texts``.
+    return df.select(*keep, *[packed(j) for j in each])
+
+
+def signatures(texts: DataFrame, place: str, number: str, text: str, samples: int = SAMPLES) -> DataFrame:
+    """``place``, ``number`` and ``signature``, ``samples`` numbers of 32 bits, of every row of ``texts``.
 
     Terms are what lies between blanks and line ends (an empty text has one empty term), weighted by their number.
-    ``keys`` tell rows apart. Where ``texts`` is partitioned by some of the keys, nothing is shuffled.
+    Place and number tell rows apart. Where ``texts`` is partitioned by the place, nothing is shuffled.
+
+    The samples of a term depend on it and its weight alone, so a place takes them once, for all its texts that hold the
+    term so often; a list of these texts is as long as the place at most.
     """
-    terms = texts.select(*keys, F.explode(F.split(text, "[ \t\r\n]+")).alias("_w")).select(*keys, F.xxhash64("_w").alias("_w"))
-    weighted = terms.groupBy(*keys, "_w").count().select(*keys, "_w", F.ln(F.col("count")).alias("_s"))
-    least = weighted.groupBy(*keys).agg(*[F.min(sample(F.col("_w"), F.col("_s"), k)).alias(f"_m{k}") for k in range(samples)])
-    parts = [F.col(f"_m{k}").bitwiseAND(F.lit((1 << 32) - 1)) for k in range(samples)]
-    return least.select(*keys, F.array(*parts).alias("signature"))
+    terms = texts.select(place, number, F.explode(F.split(text, "[ \t\r\n]+")).alias("_w")).select(place, number, F.xxhash64("_w").alias("_w"))
+    counts = terms.groupBy(place, number, "_w").agg(F.count("*").alias("_c"))
+    shared = counts.groupBy(place, "_w", "_c").agg(F.collect_list(number).alias("_in"))
+    blocks = F.array(*[F.lit(k) for k in range(0, samples, BLOCK)])
+    shared = shared.select(place, "_in", "_w", F.ln("_c").alias("_s"), F.explode(blocks).alias("_k"))
+    each = samples_of(shared, [place, "_in", "_k"], BLOCK)
+    each = each.select(place, F.explode("_in").alias(number), "_k", *[f"_m{j}" for j in range(BLOCK)])
+    least = each.groupBy(place, number, "_k").agg(*[F.min(f"_m{j}").alias(f"_m{j}") for j in range(BLOCK)])
+    part = F.array(*[F.col(f"_m{j}").bitwiseAND(F.lit((1 << 32) - 1)) for j in range(BLOCK)])
+    whole = least.groupBy(place, number).agg(F.sort_array(F.collect_list(F.struct("_k", part.alias("x")))).alias("_x"))
+    return whole.select(place, number, F.slice(F.flatten("_x.x"), 1, samples).alias("signature"))
 
 
 def likeness(a: str | Column, b: str | Column) -> Column:
@@ -59,14 +80,15 @@ def likeness(a: str | Column, b: str | Column) -> Column:
 
 def digits(signature: str) -> Column:
     """A signature in hexadecimal digits, eight per sample."""
-    return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.lower(F.array_join(F.transform(signature, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Id, ``signature`` and ``fingerprint`` (its digits) of every row of ``docs``; null texts count as empty."""
-    rows = docs.select(named(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), text_of(text_col).alias("_t"))
-    found = signatures(rows, ["_row", "_id"], "_t", samples)
-    return found.select(F.col("_id").alias(id_col), "signature", digits("signature").alias("fingerprint"))
+    rows = docs.select(named(id_col).alias("_id"), text_of(text_col).alias("_t"), F.spark_partition_id().alias("_r"))
+    rows = rows.select("_r", F.struct(F.monotonically_increasing_id().alias("row"), "_id").alias("_n"), "_t").repartition("_r")
+    found = signatures(rows, "_r", "_n", "_t", samples)
+    return found.select(F.col("_n._id").alias(id_col), "signature", digits("signature").alias("fingerprint"))
 
 
 def _ranges(ids: DataFrame, number: int) -> tuple[Column, Column | None]:
@@ -118,7 +140,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     # Keys of the aggregations stay narrow: what else is reported joins where it lies, by the range and the row's number.
     kinds = F.array(F.struct(F.lit(0).alias("k"), F.col("_t").alias("t")), F.struct(F.lit(1).alias("k"), F.col("_edited").alias("t")))
     texts = rows.select("_r", "_n", F.explode(kinds).alias("_x")).where("_x.t is not null")
-    found = signatures(texts.select("_r", (2 * F.col("_n") + F.col("_x.k")).alias("_n"), F.col("_x.t").alias("_x")), ["_r", "_n"], "_x", samples)
+    found = signatures(texts.select("_r", (2 * F.col("_n") + F.col("_x.k")).alias("_n"), F.col("_x.t").alias("_x")), "_r", "_n", "_x", samples)
     kind = F.col("_n") % 2
     one = found.groupBy("_r", F.shiftright("_n", 1).alias("_n")).agg(
         F.max(F.when(kind == 0, F.col("signature"))).alias("own"), F.max(F.when(kind == 1, F.col("signature"))).alias("other")
