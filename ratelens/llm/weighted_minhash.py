@@ -14,8 +14,8 @@ SAMPLES = 128
 #: Partitions of texts per shuffle partition, as the terms of a partition's texts are counted in memory, and ranges of
 #: ids per such partition.
 PARTS, RANGES = 4, 2
-#: Samples that one row carries while least ones are sought; their code stays small enough to be compiled.
-BLOCK = 8
+#: Samples that one row carries while least ones are sought. The code of eight is beyond the 8,000 bytes that the JVM compiles.
+BLOCK = 4
 
 
 def _uniform(bits: Column, width: int) -> Column:
