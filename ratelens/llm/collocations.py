@@ -11,6 +11,7 @@ Tasks get the proposals as a bitmap of fixed size. Two phrases may share a bit;
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -27,8 +28,8 @@ from ratelens.llm.common import named, scratch_table, text_of
 SUPPORT, LONGEST, TOP, NO_LANG = 100, 5, 2000, "und"
 #: One row in SHARE is sampled; a phrase with SUPPORT occurrences falls below the lowered threshold at DEVIATIONS of its spread.
 SHARE, DEVIATIONS = 8, 0.5
-#: Bits of the bitmap (as a power of two), bytes of text that are counted at once.
-BITS, SLICE = 27, 1 << 21
+#: Bits of the bitmap (as a power of two), bytes of text that are counted at once, bytes up to which running sums hash a word.
+BITS, SLICE, SHORT = 27, 1 << 21, 256
 
 # Constants of the published splitmix64 bit mixer, and an odd number as base.
 _GOLDEN, _MIX_1, _MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -64,7 +65,10 @@ class _Powers:
 
 
 def _word_hashes(data: bytes, starts: np.ndarray, stops: np.ndarray, powers: _Powers) -> list[np.ndarray]:
-    """Two hashes of each word: one of all its bytes, from running sums, and one of its length and first and last eight."""
+    """Two hashes of each word: one of all its bytes, from running sums, and one of its length and first and last eight.
+
+    Sums modulo 2^64 are equal for some regular pairs of long words, whatever the base; a digest tells those apart.
+    """
     raw = np.frombuffer(data, dtype=np.uint8)
     up, down = powers.upto(len(raw))
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
@@ -75,6 +79,8 @@ def _word_hashes(data: bytes, starts: np.ndarray, stops: np.ndarray, powers: _Po
     eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=data + bytes(8), strides=(1,))
     beyond = np.uint64(64) - np.uint64(8) * np.minimum(size, np.uint64(8))
     two = _mix(eight[starts] << beyond ^ _mix(eight[np.maximum(stops - 8, starts)] << beyond ^ size))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        one[i], two[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : stops[i]], digest_size=16).digest(), dtype="<u8")
     return [one, two]
 
 
@@ -134,7 +140,8 @@ class _Slice:
         edges = np.flatnonzero(np.diff(kind == 0, prepend=False, append=False))
         self.starts, self.stops = edges[::2], edges[1::2]
         self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts]
-        self.names, code = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
+        # As Python strings: numpy's own drop trailing zero characters, which would join two languages.
+        self.names, code = np.unique(np.array(langs, dtype=object), return_inverse=True)
         self.lang = code[np.searchsorted(np.array(ends), self.starts, side="right")]
         seeds = np.array([_seed(n) for n in self.names], dtype=np.uint64)
         self.words = [_mix(w ^ seeds[self.lang]) for w in _word_hashes(data, self.starts, self.stops, powers)]
@@ -184,7 +191,7 @@ class _Slice:
                 yield self._worded(n, [h[first] for h in hashes], at[look[first]], np.where(new[look[first]], times, 0), seen)
             fits, before = np.zeros(len(self.starts), dtype=bool), np.zeros(len(self.starts) + 1, dtype=bool)
             fits[at] = new | _member(known, grams[0][at])
-            before[at] = _member(counted, grams[0][at])
+            before[at] = ~new & _member(counted, grams[0][at])  # a new phrase may share the bit of a counted one
 
     def wordings(self, frequent: np.ndarray, longest: int, seen: set) -> Iterator[pa.RecordBatch]:
         """``hash, tag, f, lang, phrase`` of what ``frequent`` may hold, with no occurrences, once per task."""

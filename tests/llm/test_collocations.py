@@ -73,3 +73,22 @@ def test_long_texts_go_in_parts_that_end_with_a_piece():
 
 def test_empty_table(spark):
     assert co.collocations(frame(spark, [])).count() == 0
+
+
+def test_languages_and_long_words_that_nearly_collide_are_told_apart(spark):
+    morse = "a"  # words of the Thue-Morse sequence have equal sums of powers modulo 2^64, whatever the base
+    for _ in range(11):
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    ends = ["prefix--" + w + "--suffix" for w in (morse, morse.translate(str.maketrans("ab", "ba")))]
+    texts = [(f"x {ends[i % 2]} y", "en") for i in range(9)] + [("big red", lang) for lang in ("en", "en\0", "en\0", "e\0n") for _ in range(3)]
+    assert sorted(tuple(r) for r in co.collocations(frame(spark, texts), support=2).collect()) == brute(texts, 2)
+
+
+def test_new_phrases_that_share_the_bit_of_a_counted_one_are_extended():
+    part = co._Slice(co._Powers(), b"a b c\n", [6], ["en"])
+    everything = np.full((1 << co.BITS) // 8, 255, np.uint8)
+    counted = everything.copy()
+    at = int(part.words[0][0]) >> (64 - co.BITS)
+    counted[at >> 3] &= ~np.uint8(1 << (at & 7))  # only the word "a" was missed
+    found = [p for b in part.expansions(everything, counted, np.zeros_like(counted), 3, set()) for p in b.column("phrase").to_pylist()]
+    assert found == [None, "a b", "a b c"]
