@@ -6,7 +6,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ratelens.functions.quantiles import quantiles
+from ratelens.functions import quantiles as q
+from ratelens.functions.quantiles import column_quantile, quantiles
 
 PROBS = {"p00": 0.0, "p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99, "p100": 1.0}
 
@@ -86,3 +87,28 @@ def test_windows_see_sub_ranges_or_few_values(spark):
     for r in cut:
         assert all(r["skip"] < k <= r["skip"] + r["inside"] for k in r["ranks"])
     assert sorted(k for r in cut for k in r["ranks"]) == [50_000, 50_001]
+
+
+@pytest.mark.parametrize("sample", [1, 40, 1 << 18])
+def test_quantiles_of_columns_are_exact_whatever_the_sample_proposes(spark, sample):
+    rng = np.random.default_rng(7)
+    data = {
+        "normal": rng.normal(size=3000), "flags": (rng.random(3000) < 0.5) * 1.0, "flat": np.full(3000, -2.5), "steps": np.floor(rng.random(3000) * 5),
+        "far": rng.standard_cauchy(3000) * 1e200, "half": np.repeat([1.0, 2.0], 1500), "a.b": np.arange(3000) * 1.0,
+    }
+    gaps = {c: [None if c == "normal" and i % 3 == 0 else float(v) for i, v in enumerate(vs)] for c, vs in data.items()}
+    df = spark.createDataFrame(list(zip(*gaps.values(), [None] * 3000)), ", ".join(f"`{c}` double" for c in [*gaps, "none"]))
+    for p in (0.0, 0.01, 0.5, 1.0):
+        got = {r["column"]: r["value"] for r in column_quantile(df, df.columns, p, sample=sample).collect()}
+        assert got.pop("none") is None
+        assert got == {c: pytest.approx(np.quantile([v for v in vs if v is not None], p), rel=1e-12) for c, vs in gaps.items()}
+    assert column_quantile(df.where("1 = 0"), df.columns, 0.5).count() == 0
+
+
+def test_medians_of_columns_narrow_only_the_few_rows_near_them(spark, monkeypatch):
+    seen = []
+    settled = q._settled
+    monkeypatch.setattr(q, "_settled", lambda values, *rest: seen.append(values.count()) or settled(values, *rest))
+    df = spark.range(20_000).select(*[(F.xxhash64("id", F.lit(i)) / 1e12).alias(f"v{i}") for i in range(3)])
+    column_quantile(df, df.columns, 0.5, sample=5_000)
+    assert sum(seen) < 6_000  # of 60,000 values
