@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ratelens.functions.quantiles import hand_over
 from ratelens.operators import quality as q
 from ratelens.operators.cleaning import COORDINATE_RANGES, clean_loads
 from ratelens.plans.common import Query, clean, features, rounded
@@ -231,7 +232,7 @@ QUERIES = {
     ),
     "dq14_categorical_summary": Query(lambda s, d: q.categorical_summary(loads(s, d)), _categorical_summary_sql()),
     "dq15_final_report": Query(
-        lambda s, d: rounded(q.final_report(clean_loads(loads_raw(s, d))), 6), _final_sql()
+        lambda s, d: rounded(q.final_report(hand_over(clean_loads(loads_raw(s, d)))), 6), _final_sql()
     ),
     "dq16_shape": Query(
         lambda s, d: q.shape_report(loads_raw(s, d)),

@@ -180,3 +180,16 @@ def test_a_rule_that_is_not_computed_does_not_pass(spark):
 
     found = contract._finish(spark.createDataFrame([("a", 0)], "rule string, violations long"), {"a": "x", "b": "y"})
     assert [(r["rule"], r["passed"]) for r in found.collect()] == [("a", True), ("b", False)]
+
+
+def test_closing_report_evaluates_the_cleaned_rows_once(spark, monkeypatch):
+    from ratelens.plans import quality as plans
+
+    rows = [("L1", " A ", "2001-01-02", 5.0, 10.0), ("L1", "A", "2001-01-02", 5.0, 10.0), ("L2", None, "no", -1.0, 20.0)]
+    raw = spark.createDataFrame(rows, "load_id string, pickup string, date string, weight double, posted_rate double")
+    monkeypatch.setattr(plans, "loads_raw", lambda s, d: raw)
+    out = plans.QUERIES["dq15_final_report"].run(spark, "")
+    assert "Deduplicate" not in out._jdf.queryExecution().analyzed().toString()  # every section reads what was handed over
+    found = {(r["section"], r["item"]): r["value"] for r in out.collect()}
+    assert found["shape", "rows"] == 2 and found["duplicates", "duplicate_rows"] == 0 and found["duplicates", "load_id"] == 0
+    assert found["missing", "date"] == 1 and found["missing", "weight"] == 1 and found["target", "mean"] == 15.0
