@@ -169,6 +169,35 @@ def test_splits_choose_among_a_fixed_number_of_features(table, share):
         assert top["threshold"] == pytest.approx(cuts[best])
 
 
+def test_tallied_nodes_split_like_read_ones_and_only_smaller_children_are_counted(monkeypatch):
+    """Sums by value, kept from parent to child, choose the splits that reading every row of every node chooses."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    x = np.stack([rng.integers(0, 40, n), rng.integers(0, 3, n), rng.normal(size=n), rng.integers(0, 500, n), np.full(n, 2)]).astype(float)
+    x = np.concatenate([x, -x[:1] * 0.1])  # the same partitions as another column
+    c = np.stack([rng.integers(0, 30, n), rng.integers(0, 300, n)])
+    y = np.sort(rng.normal(size=n) * 1e3 + 50 * (c[0] == 4) + 90 * x[0])
+    rules = tg.Rules(len(x), (30, 300), 200, 2, None)
+    rows, seen = tg.Tally._count, []
+
+    def counted(self, nodes, perm, starts, size):
+        seen.append((size[nodes].sum(), size.sum()))
+        return rows(self, nodes, perm, starts, size)
+
+    monkeypatch.setattr(tg.Tally, "_count", counted)
+
+    def grown():
+        return tg.grow(x, c, y, np.tile(np.arange(n), 2), np.array([0, n]), np.array([5, 6]), np.zeros(2, np.int64), 7.0, rules)
+
+    packs = []
+    for tallied in ((), ((64, 20), (1024, 50))):
+        monkeypatch.setattr(tg, "TALLIED", tallied)
+        packs.append(grown())
+    for name, one, other in zip(tg.Pack._fields, *packs, strict=True):
+        assert np.array_equal(one, other), name
+    assert seen and sum(a for a, _ in seen[2:]) <= sum(b for _, b in seen[2:]) / 2
+
+
 def test_unseen_category_matches_no_split(spark, table):
     model = trees().fit(table)
     new = spark.createDataFrame([(0, 5.0, 0.0, 4.0, "violet")], "id int, x double, z double, flat double, c string")
