@@ -198,6 +198,20 @@ def test_tallied_nodes_split_like_read_ones_and_only_smaller_children_are_counte
     assert seen and sum(a for a, _ in seen[2:]) <= sum(b for _, b in seen[2:]) / 2
 
 
+def test_a_group_of_packs_is_copied_for_the_rows_that_ask_for_it_only(table, monkeypatch):
+    """Copies of lower packs grow with the rows in them, not with the table's rows times the trees' size."""
+    model = trees(numTrees=2, localRows=40).fit(table)
+    expected = scores(model, table)
+    sides, meet = [], type(model)._meet
+    monkeypatch.setattr(type(model), "_meet", lambda self, rows, packs, members: sides.append((rows, packs)) or meet(self, rows, packs, members))
+    model.group_nodes, model.group_rows = 60, 50
+    assert scores(model, table) == pytest.approx(expected)
+    rows, packs = sides[1]
+    asked = {r["grp"]: r["n"] for r in rows.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+    copies = {(r["grp"], r["blocks"]) for r in packs.select("grp", "blocks").collect()}
+    assert len(asked) > 3 and copies == {(g, -(-n // 50)) for g, n in asked.items()}
+
+
 def test_unseen_category_matches_no_split(spark, table):
     model = trees().fit(table)
     new = spark.createDataFrame([(0, 5.0, 0.0, 4.0, "violet")], "id int, x double, z double, flat double, c string")
