@@ -120,7 +120,8 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     are empty, repeated rows are reported each, other columns are ignored, an empty table gives no rows.
 
     Texts are shuffled once, by ranges of ids; the first of each range goes along with the range above, whose last
-    document it follows. Everything else happens where the ranges lie.
+    document it follows. Everything else happens where the ranges lie: signatures come back to their rows by a union and a
+    window over the range, as a join by range and row would shuffle both again.
     """
     spark = docs.sparkSession
     rows = docs.select(named(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t"))
@@ -137,18 +138,19 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     third = F.floor(F.char_length("_t") / 3).cast("int")
     edited = F.concat(F.substring("_t", F.lit(1), F.char_length("_t") - third), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), third))
     rows = rows.withColumn("_edited", F.when(F.col("_g") == 0, edited))
-    # Keys of the aggregations stay narrow: what else is reported joins where it lies, by the range and the row's number.
+    # Keys of the aggregations stay narrow: what else is reported stands before the signatures where they lie.
     kinds = F.array(F.struct(F.lit(0).alias("k"), F.col("_t").alias("t")), F.struct(F.lit(1).alias("k"), F.col("_edited").alias("t")))
     texts = rows.select("_r", "_n", F.explode(kinds).alias("_x")).where("_x.t is not null")
     found = signatures(texts.select("_r", (2 * F.col("_n") + F.col("_x.k")).alias("_n"), F.col("_x.t").alias("_x")), "_r", "_n", "_x", samples)
-    kind = F.col("_n") % 2
-    one = found.groupBy("_r", F.shiftright("_n", 1).alias("_n")).agg(
-        F.max(F.when(kind == 0, F.col("signature"))).alias("own"), F.max(F.when(kind == 1, F.col("signature"))).alias("other")
-    )
-    about = rows.select("_r", "_n", "_g", "_id", F.char_length("_t").cast("long").alias("_chars"), F.sha2("_edited", 256).alias("_sha"))
-    one = about.join(one, ["_r", "_n"])
-    out = one.withColumn("next", F.lead("own").over(Window.partitionBy("_r").orderBy("_n"))).where("_g = 0")
+    # A row, its text's signature and its edited text's follow each other, then the next row and its signature.
+    about = F.struct("_g", "_id", F.char_length("_t").cast("long").alias("chars"), F.sha2("_edited", 256).alias("sha"))
+    about = rows.select("_r", "_n", F.lit(-1).alias("_k"), about.alias("_a"), F.lit(None).cast("array<bigint>").alias("signature"))
+    none = F.lit(None).cast(about.schema["_a"].dataType).alias("_a")
+    found = found.select("_r", F.shiftright("_n", 1).alias("_n"), (F.col("_n") % 2).cast("int").alias("_k"), none, "signature")
+    order = Window.partitionBy("_r").orderBy("_n", "_k")
+    ahead = {name: F.lead("signature", by).over(order).alias(name) for name, by in (("own", 1), ("other", 2), ("next", 4))}
+    out = about.union(found).select("_k", "_a.*", *ahead.values()).where("_k = -1 and _g = 0")
     return out.select(
-        F.col("_id").alias(id_col), F.col("_chars").alias("n_chars"), F.col("_sha").alias("edited_sha256"), digits("own").alias("fingerprint"),
+        F.col("_id").alias(id_col), F.col("chars").alias("n_chars"), F.col("sha").alias("edited_sha256"), digits("own").alias("fingerprint"),
         digits("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"),
     )

@@ -53,6 +53,20 @@ def test_edited_texts_where_all_ids_are_null(spark):
         assert found[len(t)] == hashlib.sha256((t[: len(t) - third] + after[:third]).encode()).hexdigest()
 
 
+def test_fingerprints_shuffle_the_texts_once_and_nothing_else(spark):
+    rows = spark.createDataFrame([(i, f"w{i} same words w{i // 2}", "s", 1) for i in range(300)], SCHEMA)
+    found = edited_fingerprints(rows, samples=4)
+    assert len(found.collect()) == 300
+    lines = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    exchanges = [x for x in lines if re.search(r"[-:] (Exchange|ReusedExchange)", x)]
+    assert sum("ReusedExchange" in x for x in exchanges) == len(exchanges) - 1, exchanges
+    # The signature that a row is compared with is that of the next row, the first row of the next range included.
+    by = {r.doc_id: r for r in found.collect()}
+    for i in range(300):
+        own, after = by[i].fingerprint, by[(i - 1) % 300].fingerprint
+        assert by[i].near_next == sum(own[k : k + 8] == after[k : k + 8] for k in range(0, 32, 8)) / 4
+
+
 def test_repeats_against_brute_force(spark):
     texts = [(t or "").encode() for t in TEXTS]
     seen = Counter(hash(t[i : i + 400]) for t in texts for i in range(len(t) - 399))
