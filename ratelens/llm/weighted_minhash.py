@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +17,12 @@ SAMPLES = 128
 #: Partitions of texts per shuffle partition, as the terms of a partition's texts are counted in memory, and ranges of
 #: ids per such partition.
 PARTS, RANGES = 4, 2
-#: Samples that one row carries while least ones are sought. The code of eight is beyond the 8,000 bytes that the JVM compiles.
+#: Samples that one row carries once the least ones are sought.
 BLOCK = 4
+#: A sample of a text is sought below a rank that none of its terms reaches with a probability of e^-REACH; where none does, all are taken.
+REACH = 9.0
+_SEPARATOR = "[ \t\r\n]+"
+_LOW = (1 << 32) - 1
 
 
 def _uniform(bits: Column, width: int) -> Column:
@@ -23,53 +30,143 @@ def _uniform(bits: Column, width: int) -> Column:
     return (bits.bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) * 2.0**-width
 
 
-def samples_of(weighted: DataFrame, keep: list[str], number: int) -> DataFrame:
-    """Samples ``_m0``, ``_m1``, ... of each row's term ``_w`` with the log weight ``_s``, the first of them its ``_k``-th.
+def _here(value: Column) -> Column:
+    """Adding nothing in a way that is not deterministic has Spark take the number here, once, not wherever it is read."""
+    return value + F.spark_partition_id() * 0
 
-    A sample is 31 bits of its rank above 32 bits that identify term and level. With r and c from Gamma(2, 1) and b
-    uniform, all fixed by term and k, the level is t = floor(ln(weight) / r + b) and the rank is ln c - r (t - b + 1). The
-    least sample of a text's terms equals that of another text with a probability of their generalised Jaccard similarity.
+
+def _hashes(term: Column, k: Column) -> tuple[Column, Column]:
+    return F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
+
+
+def _drawn(u: Column, v: Column) -> tuple[Column, Column, Column]:
+    """e^-r, e^-c and b of a sample; r and c are from Gamma(2, 1), b is uniform."""
+    r = _uniform(u, 21) * _uniform(F.shiftrightunsigned(u, 21), 21)
+    return r, _uniform(v, 32) * _uniform(F.shiftrightunsigned(v, 32), 32), _uniform(F.shiftrightunsigned(u, 42), 21)
+
+
+def _level(weight: Column, r: Column, b: Column) -> Column:
+    return F.floor(weight / r + b)
+
+
+def _above(rank: Column) -> Column:
+    """A rank as the upper 31 bits of a sample."""
+    high = F.greatest(F.lit(0), F.least(F.lit((1 << 31) - 1), F.floor((rank + 64) * 2.0**24)))
+    return F.shiftleft(high.cast("long"), 32)
+
+
+def _sample(v: Column, r: Column, power: Column, b: Column, level: Column) -> Column:
+    """31 bits of the rank ln c - r (t - b + 1) above 32 bits that identify term and level t; ``power`` is e^-c.
+
+    With t = floor(ln(weight) / r + b), the least sample of a text's terms equals that of another text with a probability of
+    their generalised Jaccard similarity.
     """
-    each = range(number)
-    hashes = [F.xxhash64("_w", 2 * (F.col("_k") + j) + i).alias(f"_{'uv'[i]}{j}") for j in each for i in (0, 1)]
-    df = weighted.select(*keep, "_s", *hashes)
-    r = [(-F.ln(_uniform(F.col(f"_u{j}"), 21) * _uniform(F.shiftrightunsigned(f"_u{j}", 21), 21))).alias(f"_r{j}") for j in each]
-    df = df.select("*", *r)
-    levels = [F.floor(F.col("_s") / F.col(f"_r{j}") + _uniform(F.shiftrightunsigned(f"_u{j}", 42), 21)).alias(f"_t{j}") for j in each]
-    df = df.select("*", *levels)
+    rank = F.ln(-F.ln(power)) - r * (level - b + 1)
+    return _above(rank).bitwiseOR(F.xxhash64(v, level).bitwiseAND(F.lit(_LOW)))
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _terms(text: Column) -> Column:
+    """Terms of a text (``w``, hashed) and how often it holds them (``c``)."""
+
+    def counted(words: Column) -> Column:
+        fresh = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+
+        def sizes(begin: Column) -> Column:
+            return F.transform(begin, lambda i, j: F.struct(F.get(words, i).alias("w"), (F.coalesce(F.get(begin, j + 1), F.size(words)) - i).alias("c")))
+
+        return _bind(fresh, sizes)
+
+    return _bind(F.sort_array(F.transform(F.split(text, _SEPARATOR), lambda w: F.xxhash64(w))), counted)
+
+
+def _least_of_all(terms: Column, k: Column) -> Column:
+    """The ``k``-th least sample of a list of terms, as 32 bits."""
 
-    def packed(j: int) -> Column:
-        v = F.col(f"_v{j}")
-        c = -F.ln(_uniform(v, 32) * _uniform(F.shiftrightunsigned(v, 32), 32))
-        rank = F.ln(c) - F.col(f"_r{j}") * (F.col(f"_t{j}") - _uniform(F.shiftrightunsigned(f"_u{j}", 42), 21) + 1)
-        high = F.greatest(F.lit(0), F.least(F.lit((1 << 31) - 1), F.floor((rank + 64) * 2.0**24)))
-        low = F.xxhash64(v, F.col(f"_t{j}")).bitwiseAND(F.lit((1 << 32) - 1))
-        # Adding nothing in a way that is not deterministic has Spark take the sample here, not wherever it is read.
-        return (F.shiftleft(high.cast("long"), 32).bitwiseOR(low) + F.spark_partition_id() * 0).alias(f"_m{j}")
+    def one(term: Column) -> Column:
+        u, v = _hashes(term["w"], k)
+        power, other, b = _drawn(u, v)
+        return _sample(v, -F.ln(power), other, b, _level(F.ln(term["c"]), -F.ln(power), b))
 
-    return df.select(*keep, *[packed(j) for j in each])
+    return F.array_min(F.transform(terms, one)).bitwiseAND(F.lit(_LOW))
 
 
-def signatures(texts: DataFrame, place: str, number: str, text: str, samples: int = SAMPLES) -> DataFrame:
-    """``place``, ``number`` and ``signature``, ``samples`` numbers of 32 bits, of every row of ``texts``.
+def signatures(rows: DataFrame, place: str, number: str, texts: Sequence[str], samples: int = SAMPLES) -> DataFrame:
+    """``rows`` with ``_s0``, ``_s1``, ...: the signature, ``samples`` numbers of 32 bits, of each of the columns ``texts``, null of null.
 
     Terms are what lies between blanks and line ends (an empty text has one empty term), weighted by their number.
-    Place and number tell rows apart. Where ``texts`` is partitioned by the place, nothing is shuffled.
+    Place and number tell rows apart. Where ``rows`` are partitioned by the place, nothing is shuffled.
 
-    The samples of a term depend on it and its weight alone, so a place takes them once, for all its texts that hold the
-    term so often; a list of these texts is as long as the place at most.
+    The samples of a term depend on it and its weight alone, so texts of a row that hold it equally often take them once.
+    The least rank of a text of n words is beyond ln(x / n) with a probability of e^-x. Only samples below that are taken,
+    and most others are told without a logarithm: of ranks, e^rank = c (e^-r)^z / weight with z in (0, 1], which is 1 - b
+    where the weight is one, c is at least 2 (1 - e^-c) / (1 + e^-c), and a power of e^-r at least a harmonic mean.
     """
-    terms = texts.select(place, number, F.explode(F.split(text, "[ \t\r\n]+")).alias("_w")).select(place, number, F.xxhash64("_w").alias("_w"))
-    counts = terms.groupBy(place, number, "_w").agg(F.count("*").alias("_c"))
-    shared = counts.groupBy(place, "_w", "_c").agg(F.collect_list(number).alias("_in"))
-    blocks = F.array(*[F.lit(k) for k in range(0, samples, BLOCK)])
-    shared = shared.select(place, "_in", "_w", F.ln("_c").alias("_s"), F.explode(blocks).alias("_k"))
-    each = samples_of(shared, [place, "_in", "_k"], BLOCK)
-    each = each.select(place, F.explode("_in").alias(number), "_k", *[f"_m{j}" for j in range(BLOCK)])
-    least = each.groupBy(place, number, "_k").agg(*[F.min(f"_m{j}").alias(f"_m{j}") for j in range(BLOCK)])
-    part = F.array(*[F.col(f"_m{j}").bitwiseAND(F.lit((1 << 32) - 1)) for j in range(BLOCK)])
-    whole = least.groupBy(place, number).agg(F.sort_array(F.collect_list(F.struct("_k", part.alias("x")))).alias("_x"))
-    return whole.select(place, number, F.slice(F.flatten("_x.x"), 1, samples).alias("signature"))
+    every = range(len(texts))
+    split = F.struct(*[F.split(t, _SEPARATOR).alias(f"w{i}") for i, t in enumerate(texts)])
+    words = rows.select(place, number, F.explode(F.array(split)).alias("_w"))
+    size = F.array_min(F.array_compact(F.array(*[F.array_size(f"_w.w{i}") for i in every])))
+    kinds = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_w.w{i}").alias("w")) for i in every])
+    words = words.select(place, number, size.alias("_size"), F.explode(kinds).alias("_w"))
+    words = words.select(place, number, "_size", F.col("_w.i").alias("_i"), F.explode("_w.w").alias("_w"))
+    words = words.select(place, number, "_size", "_i", F.xxhash64("_w").alias("_w"))
+    counts = words.groupBy(place, number, "_w").agg(F.max("_size").alias("_size"), *[F.count_if(F.col("_i") == i).alias(f"_c{i}") for i in every])
+    # One row per term and how often texts hold it.
+    each = []
+    for i in every:
+        fresh = reduce(and_, [F.col(f"_c{j}") != F.col(f"_c{i}") for j in range(i)], F.lit(True))
+        held = [(F.col(f"_c{j}") == F.col(f"_c{i}")).alias(f"in{j}") for j in every]
+        each.append(F.struct(F.when(fresh, F.col(f"_c{i}")).otherwise(0).alias("c"), *held))
+    counts = counts.select(place, number, "_w", "_size", F.explode(F.array(*each)).alias("_in")).where("_in.c > 0")
+    held = [F.col(f"_in.in{i}").alias(f"_in{i}") for i in every]
+    most = _here(_above(F.ln(REACH / F.col("_size")))).alias("_most")
+    room = _here(F.col("_in.c") * (REACH * (1 + 1e-9)) / F.col("_size")).alias("_room")
+    terms = counts.select(place, number, *held, "_w", F.ln("_in.c").alias("_weight"), room, most)
+
+    keep = [place, number, *[f"_in{i}" for i in every], "_most", "_k"]
+    numbers = F.array(*[F.lit(k) for k in range(samples)])
+    df = terms.select("*", F.explode(numbers).alias("_k"))
+    u, v = _hashes(F.col("_w"), F.col("_k"))
+    df = df.select(*keep, "_weight", "_room", _here(u).alias("_u"), _here(v).alias("_v"))
+    power, other, b = _drawn(F.col("_u"), F.col("_v"))
+    df = df.select(*keep, "_weight", "_room", "_v", _here(power).alias("_power"), _here(other).alias("_other"), _here(b).alias("_b"))
+    power, other, b = F.col("_power"), F.col("_other"), F.col("_b")
+    mean = F.when(F.col("_weight") == 0, (1 - b) + b * power).otherwise(1.0)
+    df = df.where(2 * (1 - other) * power < (1 + other) * F.col("_room") * mean)
+    df = df.select(*keep, "_weight", "_v", "_other", "_b", _here(-F.ln(power)).alias("_log"))
+    df = df.select(*keep, "_v", "_other", "_b", "_log", _here(_level(F.col("_weight"), F.col("_log"), F.col("_b"))).alias("_level"))
+    df = df.select(*keep, _here(_sample(F.col("_v"), F.col("_log"), F.col("_other"), F.col("_b"), F.col("_level"))).alias("_m")).where("_m < _most")
+    of = F.pmod("_k", F.lit(BLOCK))
+    least = [F.min(F.when(F.col(f"_in{i}") & (of == j), F.col("_m"))).alias(f"_m{i}_{j}") for i in every for j in range(BLOCK)]
+    df = df.groupBy(place, number, F.floor(F.col("_k") / BLOCK).cast("int").alias("_k")).agg(*least)
+
+    # The rows come back to their samples by a union, as a join by place and number would shuffle both.
+    parts = [F.array(*[F.col(f"_m{i}_{j}").bitwiseAND(F.lit(_LOW)) for j in range(BLOCK)]).alias(f"x{i}") for i in every]
+    found = df.select(place, number, F.struct("_k", *parts).alias("_x"))
+    also = [c for c in rows.columns if c not in (place, number)]
+    whole = found.unionByName(rows.select(place, number, F.struct(*also).alias("_row")), allowMissingColumns=True)
+    whole = whole.groupBy(place, number).agg(F.collect_list("_x").alias("_x"), F.first("_row", ignorenulls=True).alias("_row"))
+
+    def signature(i: int) -> Column:
+        blocks = F.sort_array("_x")
+        found = F.slice(F.flatten(F.transform(blocks, lambda x: x[f"x{i}"])), 1, samples)
+        text = F.col(f"_row.{texts[i]}")
+
+        def filled(terms: Column) -> Column:
+            def at(k: Column) -> Column:
+                block = F.get(F.filter("_x", lambda x: x["_k"] == F.floor(k / BLOCK)), F.lit(0))
+                return F.coalesce(F.get(block[f"x{i}"], F.pmod(k, F.lit(BLOCK)).cast("int")), _least_of_all(terms, k))
+
+            return F.transform(numbers, at)
+
+        whole = F.size(F.array_compact(found)) == samples
+        return F.when(text.isNull(), None).when(whole, found).otherwise(_bind(_terms(text), filled)).alias(f"_s{i}")
+
+    return whole.select(place, number, "_row.*", *[signature(i) for i in every])
 
 
 def likeness(a: str | Column, b: str | Column) -> Column:
@@ -86,9 +183,9 @@ def digits(signature: str) -> Column:
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Id, ``signature`` and ``fingerprint`` (its digits) of every row of ``docs``; null texts count as empty."""
     rows = docs.select(named(id_col).alias("_id"), text_of(text_col).alias("_t"), F.spark_partition_id().alias("_r"))
-    rows = rows.select("_r", F.struct(F.monotonically_increasing_id().alias("row"), "_id").alias("_n"), "_t").repartition("_r")
-    found = signatures(rows, "_r", "_n", "_t", samples)
-    return found.select(F.col("_n._id").alias(id_col), "signature", digits("signature").alias("fingerprint"))
+    rows = rows.select("_r", F.monotonically_increasing_id().alias("_n"), "_id", "_t").repartition("_r")
+    found = signatures(rows, "_r", "_n", ["_t"], samples)
+    return found.select(F.col("_id").alias(id_col), F.col("_s0").alias("signature"), digits("_s0").alias("fingerprint"))
 
 
 def _ranges(ids: DataFrame, number: int) -> tuple[Column, Column | None]:
@@ -120,8 +217,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     are empty, repeated rows are reported each, other columns are ignored, an empty table gives no rows.
 
     Texts are shuffled once, by ranges of ids; the first of each range goes along with the range above, whose last
-    document it follows. Everything else happens where the ranges lie: signatures come back to their rows by a union and a
-    window over the range, as a join by range and row would shuffle both again.
+    document it follows. Everything else happens where the ranges lie.
     """
     spark = docs.sparkSession
     rows = docs.select(named(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t"))
@@ -138,19 +234,11 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     third = F.floor(F.char_length("_t") / 3).cast("int")
     edited = F.concat(F.substring("_t", F.lit(1), F.char_length("_t") - third), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), third))
     rows = rows.withColumn("_edited", F.when(F.col("_g") == 0, edited))
-    # Keys of the aggregations stay narrow: what else is reported stands before the signatures where they lie.
-    kinds = F.array(F.struct(F.lit(0).alias("k"), F.col("_t").alias("t")), F.struct(F.lit(1).alias("k"), F.col("_edited").alias("t")))
-    texts = rows.select("_r", "_n", F.explode(kinds).alias("_x")).where("_x.t is not null")
-    found = signatures(texts.select("_r", (2 * F.col("_n") + F.col("_x.k")).alias("_n"), F.col("_x.t").alias("_x")), "_r", "_n", "_x", samples)
-    # A row, its text's signature and its edited text's follow each other, then the next row and its signature.
-    about = F.struct("_g", "_id", F.char_length("_t").cast("long").alias("chars"), F.sha2("_edited", 256).alias("sha"))
-    about = rows.select("_r", "_n", F.lit(-1).alias("_k"), about.alias("_a"), F.lit(None).cast("array<bigint>").alias("signature"))
-    none = F.lit(None).cast(about.schema["_a"].dataType).alias("_a")
-    found = found.select("_r", F.shiftright("_n", 1).alias("_n"), (F.col("_n") % 2).cast("int").alias("_k"), none, "signature")
-    order = Window.partitionBy("_r").orderBy("_n", "_k")
-    ahead = {name: F.lead("signature", by).over(order).alias(name) for name, by in (("own", 1), ("other", 2), ("next", 4))}
-    out = about.union(found).select("_k", "_a.*", *ahead.values()).where("_k = -1 and _g = 0")
-    return out.select(
-        F.col("_id").alias(id_col), F.col("chars").alias("n_chars"), F.col("sha").alias("edited_sha256"), digits("own").alias("fingerprint"),
-        digits("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"),
+    rows = rows.select("_r", "_n", "_g", "_id", "_t", "_edited")
+    found = signatures(rows, "_r", "_n", ["_t", "_edited"], samples)
+    found = found.select("*", F.lead("_s0").over(Window.partitionBy("_r").orderBy("_n")).alias("_s2")).where("_g = 0")
+    return found.select(
+        F.col("_id").alias(id_col), F.char_length("_t").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
+        digits("_s0").alias("fingerprint"), digits("_s1").alias("edited_fingerprint"), likeness("_s0", "_s1").alias("near_edited"),
+        likeness("_s0", "_s2").alias("near_next"),
     )

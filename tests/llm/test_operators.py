@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from ratelens.llm import chat, quality, repeats, secrets, toxicity
+from ratelens.llm import chat, quality, repeats, secrets, toxicity, weighted_minhash
 from ratelens.llm.packing import balance
 from ratelens.llm.simhash import fingerprint as simhash
 from ratelens.llm.simhash import keep_one, near_duplicates
@@ -16,6 +16,7 @@ from ratelens.llm.weighted_minhash import edited_fingerprints
 
 SCHEMA = "doc_id long, text string, score string, `a.b` int"
 LONG = " ".join(f"w{i * i % 9973}" for i in range(30_000))
+ONE = "8e7efd6dfb178cf1a0720c3091b0dd30d26df5f8f2e835d0"
 PASSAGE = " ".join(f"p{i * 7919 % 1009}" for i in range(120))
 TEXTS = [None, "", "  ", "one", "one", LONG, LONG + " end", PASSAGE, "head " + PASSAGE + " tail", "é ü " * 200 + PASSAGE[:450], "a" * 1000, "x" + PASSAGE[50:500] + "y"]
 
@@ -67,6 +68,21 @@ def test_fingerprints_shuffle_the_texts_once_and_nothing_else(spark):
         assert by[i].near_next == sum(own[k : k + 8] == after[k : k + 8] for k in range(0, 32, 8)) / 4
 
 
+def test_fingerprints_do_not_depend_on_how_many_samples_are_sought_at_once(spark, monkeypatch):
+    """Logarithms are taken of few samples: of none that cannot be least, then of all terms where none was below the rank."""
+    texts = [None, "", "one", "one", "a a b\tc", "a a a\nb", "é  ü é " * 40 + PASSAGE[:200], PASSAGE, "head " + PASSAGE]
+    found = []
+    for reach in (1e-30, 0.3, 9.0, 1e30):
+        monkeypatch.setattr(weighted_minhash, "REACH", reach)
+        found.append(sorted(edited_fingerprints(frame(spark, texts), samples=6).collect(), key=lambda r: r.doc_id))
+    assert found[0] == found[1] == found[2] == found[3]
+    assert all(len(r.fingerprint) == len(r.edited_fingerprint) == 48 for r in found[0])
+    # The samples as they were before any were left out.
+    assert found[0][2].fingerprint == found[0][3].fingerprint == ONE
+    both = weighted_minhash.fingerprint(frame(spark, texts), samples=6).collect()
+    assert {r.doc_id: r.fingerprint for r in both} == {r.doc_id: r.fingerprint for r in found[0]}
+
+
 def test_repeats_against_brute_force(spark):
     texts = [(t or "").encode() for t in TEXTS]
     seen = Counter(hash(t[i : i + 400]) for t in texts for i in range(len(t) - 399))
