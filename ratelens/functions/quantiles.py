@@ -42,7 +42,7 @@ _VALUE, _ALL = "__value", "__all"
 def hand_over(df: DataFrame) -> DataFrame:
     """Write a column-pruned table to the shared folder once, for several passes to read."""
     path = scratch_path(df.sparkSession, "hand-over")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

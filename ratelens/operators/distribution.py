@@ -34,11 +34,15 @@ def numeric_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
     return long.withColumn("column", F.expr("substr(column, 5)"))
 
 
-def describe(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """One row per column: count, mean, std, min, quartiles, max of the non-null values."""
+def describe(df: DataFrame, columns: Sequence[str], exact: bool = True, kept: bool = False) -> DataFrame:
+    """One row per column: count, mean, std, min, quartiles, max of the non-null values.
+
+    ``kept`` says that ``df`` is a scan of a stored table, which need not be written once more.
+    """
     value = F.col("value")
+    given = df.select(*columns)
     return quantiles(
-        numeric_long(hand_over(df.select(*columns)), columns),
+        numeric_long(given if kept else hand_over(given), columns),
         "value",
         QUARTILES,
         by=["column"],

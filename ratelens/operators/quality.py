@@ -115,6 +115,22 @@ def key_report(df: DataFrame, key: str = KEY) -> DataFrame:
     )
 
 
+def possible_repeats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows whose values of ``columns`` may occur more than once: all that do, and those that only share a hash with another.
+
+    Rows are told by eight bytes each, so that where few repeat only these few are shuffled whole, by whatever looks at them
+    next; where most do, the table is returned as it is. It is read twice.
+    """
+    from ratelens.functions.quantiles import group_table
+
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("__mark")
+    counts = df.groupBy(mark).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    repeated = group_table(counts)
+    if 2 * (repeated.agg(F.sum("__n")).first()[0] or 0) > df.count():
+        return df
+    return df.withColumn("__mark", mark).join(repeated.select("__mark"), "__mark", "left_semi").select(*df.columns)
+
+
 def rule_violations(df: DataFrame) -> DataFrame:
     """Counts of impossible or suspicious numbers: ``rule, violations``."""
     rules = {}
@@ -249,8 +265,11 @@ def guard_features(columns: Sequence[str], target: str = TARGET) -> list[str]:
     return [c for c in columns if c != target]
 
 
-def final_report(df: DataFrame, key: str = KEY, target: str = TARGET) -> DataFrame:
-    """Closing report as ``section, item, value`` rows: shape, duplicates, missing, target."""
+def final_report(df: DataFrame, key: str = KEY, target: str = TARGET, kept: bool = False) -> DataFrame:
+    """Closing report as ``section, item, value`` rows: shape, duplicates, missing, target.
+
+    ``kept`` says that ``df`` is a scan of a stored table, which need not be written once more.
+    """
 
     def rows(section: str, wide: DataFrame) -> DataFrame:
         texts = wide.select(*[F.col(c).cast("double").alias(c) for c in wide.columns])
@@ -258,9 +277,11 @@ def final_report(df: DataFrame, key: str = KEY, target: str = TARGET) -> DataFra
             F.lit(section).alias("section"), "item", "value"
         )
 
-    out = rows("shape", shape_report(df)).unionByName(rows("duplicates", duplicate_rows(df)))
+    # Equal rows have equal keys, so a row whose key is the only one of its hash repeats neither.
+    again = possible_repeats(df, [key] if key in df.columns else df.columns)
+    out = rows("shape", shape_report(df)).unionByName(rows("duplicates", duplicate_rows(again)))
     if key in df.columns:
-        out = out.unionByName(rows("duplicates", key_report(df, key).select(F.col("duplicates").alias(key))))
+        out = out.unionByName(rows("duplicates", key_report(again, key).select(F.col("duplicates").alias(key))))
     missing = missing_report(df).select(
         F.lit("missing").alias("section"),
         F.col("column").alias("item"),
@@ -268,5 +289,5 @@ def final_report(df: DataFrame, key: str = KEY, target: str = TARGET) -> DataFra
     )
     out = out.unionByName(missing)
     if target in df.columns:
-        out = out.unionByName(rows("target", describe(df, [target]).drop("column")))
+        out = out.unionByName(rows("target", describe(df, [target], kept=kept).drop("column")))
     return out

@@ -232,7 +232,7 @@ QUERIES = {
     ),
     "dq14_categorical_summary": Query(lambda s, d: q.categorical_summary(loads(s, d)), _categorical_summary_sql()),
     "dq15_final_report": Query(
-        lambda s, d: rounded(q.final_report(hand_over(clean_loads(loads_raw(s, d)))), 6), _final_sql()
+        lambda s, d: rounded(q.final_report(hand_over(clean_loads(loads_raw(s, d))), kept=True), 6), _final_sql()
     ),
     "dq16_shape": Query(
         lambda s, d: q.shape_report(loads_raw(s, d)),

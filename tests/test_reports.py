@@ -193,3 +193,21 @@ def test_closing_report_evaluates_the_cleaned_rows_once(spark, monkeypatch):
     found = {(r["section"], r["item"]): r["value"] for r in out.collect()}
     assert found["shape", "rows"] == 2 and found["duplicates", "duplicate_rows"] == 0 and found["duplicates", "load_id"] == 0
     assert found["missing", "date"] == 1 and found["missing", "weight"] == 1 and found["target", "mean"] == 15.0
+
+
+@pytest.mark.parametrize("single", [0, 40])
+def test_closing_report_shuffles_whole_only_what_may_repeat(spark, monkeypatch, single):
+    twice = [("a", 1.0, 0.0), ("a", 1.0, -0.0), ("a", 2.0, 0.0), (None, None, 1.0), (None, None, 1.0), (None, 3.0, None), ("b", 1.0, 5.0)]
+    df = spark.createDataFrame(twice + [(f"s{i}", None, float(i)) for i in range(single)], "load_id string, weight double, posted_rate double")
+    seen = []
+    whole = quality.duplicate_rows
+    monkeypatch.setattr(quality, "duplicate_rows", lambda given: seen.append(given) or whole(given))
+    found = {(r["section"], r["item"]): r["value"] for r in quality.final_report(df).collect()}
+    assert found["duplicates", "duplicate_rows"] == whole(df).first()[0] == 2
+    assert found["duplicates", "load_id"] == quality.key_report(df).first()["duplicates"] == 4
+    assert found["shape", "rows"] == 7 + single and found["target", "count"] == 6 + single
+    assert seen[0].count() == (6 if single else 7)  # where most rows repeat the table is taken as it is
+    no_key = {(r["section"], r["item"]): r["value"] for r in quality.final_report(df.drop("load_id")).collect()}
+    assert no_key["duplicates", "duplicate_rows"] == whole(df.drop("load_id")).first()[0]
+    empty = {(r["section"], r["item"]): r["value"] for r in quality.final_report(df.limit(0)).collect()}
+    assert empty["shape", "rows"] == empty["duplicates", "duplicate_rows"] == empty["duplicates", "load_id"] == 0
