@@ -198,6 +198,49 @@ def test_tallied_nodes_split_like_read_ones_and_only_smaller_children_are_counte
     assert seen and sum(a for a, _ in seen[2:]) <= sum(b for _, b in seen[2:]) / 2
 
 
+def test_nodes_without_a_usable_drawn_feature_are_settled_together(monkeypatch):
+    """They take the valid candidate that comes first in their order, which is made for all of them at once, not node by node."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    x, c = np.stack([rng.integers(0, 12, n), rng.integers(0, 2, n)]).astype(float), rng.integers(0, 5, (1, n))
+    y = np.sort(rng.normal(size=n))
+    rules = tg.Rules(2, (5,), 1, 2, None)
+    calls, place_of = [], tg.place_of
+    monkeypatch.setattr(tg, "place_of", lambda keys, feature, features: calls.append(len(keys)) or place_of(keys, feature, features))
+    pack = tg.grow(x, c, y, np.arange(n), np.array([0]), np.array([9]), np.zeros(1, np.int64), 0.0, rules)
+    assert len(calls) < (pack.feature >= 0).sum() / 2
+    # Followed from the root by hand: where the drawn feature is of no use, the first usable one of the node's order.
+    todo, followed = [(0, 9, np.arange(n))], 0
+    while todo:
+        at, key, rows = todo.pop()
+        if pack.feature[at] < 0:
+            continue
+        keys = np.full(7, key)
+        place = place_of(keys, np.arange(7), 7)
+        cuts = tg.random_cuts(keys[:1], x[:, rows].min(axis=1)[:, None], x[:, rows].max(axis=1)[:, None])[:, 0]
+        rights = [x[f, rows] > cuts[f] if not np.isnan(cuts[f]) else np.zeros(len(rows), bool) for f in (0, 1)] + [c[0, rows] == v for v in range(5)]
+        best = min((f for f in range(7) if 2 <= rights[f].sum() <= len(rows) - 2), key=lambda f: place[f])
+        assert (pack.feature[at], pack.category[at]) == ((best, 0) if best < 2 else (2, best - 2))
+        followed += best != place.argmin()
+        for side in (0, 1):
+            todo.append((pack.left[at] + side, int(tg.node_key(np.array([key]), side + 1)[0]), rows[rights[best] == side]))
+    assert followed > 20
+
+
+def test_scans_route_rows_only_where_an_open_node_is():
+    #        0
+    #      1   2        of which 5 is split next; 6 is small, 3, 4, 7 and 8 lie in parts that are done
+    #     3 4 5 6
+    #    7 8
+    feature = np.array([1, 0, 2, 0, tg.LEAF, tg.OPEN, tg.SMALL, tg.LEAF, tg.SMALL])
+    left = np.array([1, 3, 5, 7, -1, -1, -1, -1, -1])
+    nodes = {"feature": feature, "left": left}
+    depth = np.array([0, 1, 1, 2, 2, 2, 2, 3, 3])
+    found = tg.leading(nodes, depth, np.arange(9) == 5)
+    assert (found >= 0).tolist() == [True, False, True] + 6 * [False] and found[[0, 2, 5, 6]].tolist() == [1, 2, tg.OPEN, tg.SMALL]
+    assert (tg.leading(nodes, depth, np.zeros(9, bool)) < 0).all()
+
+
 def test_a_group_of_packs_is_copied_for_the_rows_that_ask_for_it_only(table, monkeypatch):
     """Copies of lower packs grow with the rows in them, not with the table's rows times the trees' size."""
     model = trees(numTrees=2, localRows=40).fit(table)
